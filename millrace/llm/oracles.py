@@ -14,6 +14,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+OP1 = f"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', ['host', 'path']) AS p FROM pages),
+h AS (SELECT page_id, translate(p.host, '{UPPER}', '{LOWER}') AS host, p.path AS path FROM u),
+r(rhost, rpath, rverdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (SELECT page_id, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
+      FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT h.page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM h LEFT JOIN f ON h.page_id = f.page_id AND n = 1
+"""
+
+OP9 = f"""
+WITH words AS (SELECT 'd' AS kind, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'i', item_id::VARCHAR, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM words),
+iw AS (SELECT DISTINCT id AS item, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+       FROM (SELECT id, ws, least(len(ws), 13) AS n, unnest(generate_series(1, len(ws) - least(len(ws), 13) + 1)) AS i FROM w WHERE kind = 'i' AND len(ws) > 0)),
+dw AS (SELECT id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s
+       FROM (SELECT id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, (SELECT DISTINCT n FROM iw) WHERE kind = 'd' AND len(ws) >= n)),
+hits AS (SELECT dw.id, i, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+covered AS (SELECT id, count(DISTINCT pos) AS n_hit FROM (SELECT id, unnest(generate_series(i, i + n - 1)) AS pos FROM (SELECT DISTINCT id, i, n FROM hits)) GROUP BY id),
+named AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT w.id::BIGINT AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN covered ON w.id = covered.id LEFT JOIN named ON w.id = named.id WHERE kind = 'd'
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1,
+    "op9_decontamination": OP9,
     "op10_line_dedup": OP10,
 }
