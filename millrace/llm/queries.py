@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import quality, toxicity
+from millrace.llm.ann import search
 from millrace.llm.decontam import decontaminate
+from millrace.llm.labelled import id_remainder
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix, word_count
 from millrace.llm.url_filter import filter_urls
@@ -28,6 +31,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def _judged(scored: DataFrame, modulus: int, held_out: int, least: float) -> DataFrame:
+    held = (id_remainder(F.col("doc_id"), modulus) == held_out).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), modulus=3, held_out=1)
+    return _judged(toxicity.score_toxicity(docs, model), 3, 1, 0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    return _judged(quality.score_quality(docs, model), 5, 0, 0.3)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -43,6 +68,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
+    "op3_ann": op3_ann,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
