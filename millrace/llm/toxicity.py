@@ -87,8 +87,8 @@ def mine(words: list[set[str]], labels: np.ndarray, entries: int = ENTRIES, cove
     return chosen
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, anchor: float = 0.7) -> np.ndarray:
-    """Posterior of class 1 for each row of votes (fired or not)."""
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, trust: float = 0.97) -> np.ndarray:
+    """Posterior of class 1 for each row of votes (fired or not); the given label is one more voter, right with probability `trust`."""
     v, q = votes.astype(float), labels.astype(float)
     prior = np.clip(q.mean(), 0.01, 0.99)
     for _ in range(rounds):
@@ -101,9 +101,10 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, anchor:
         scale = np.sqrt((rest**2).mean(0)) + 1e-6
         corr = (rest / scale).T @ (rest / scale) / max(1, len(v))
         repeat = 1 / np.clip(np.clip(corr, 0, 1).sum(0), 1, None)
-        odds = np.log(prior / (1 - prior)) + (v * np.log(a / b) * repeat).sum(1) + ((1 - v) * np.log((1 - a) / (1 - b)) * repeat).sum(1)
+        odds = np.log(prior / (1 - prior)) + (v * np.log(a / b) * repeat).sum(1)  # a voter that doesn't fire abstains
+        odds += np.log(trust / (1 - trust)) * (2 * labels - 1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        q = anchor * labels + (1 - anchor) * post
+        q = post
     return q
 
 
@@ -118,7 +119,7 @@ def fit(rows: list[tuple[int, set[str], list[bool]]], rate: float) -> Model:
         votes[i, [lexicon[e] for w in words for e in entries_of(w) if e in lexicon]] = True
         votes[i, len(lexicon) :] = shown
     post = label_model(votes, labels)
-    weights = logistic(np.c_[votes.astype(float), np.ones(len(rows))], post, ridge=0.3)
+    weights = logistic(np.c_[votes.astype(float), np.ones(len(rows))], post, ridge=0.01)
     share = post.mean()
     weights[-1] += base - np.log(share / (1 - share))  # classes were sampled by themselves
     return Model(lexicon, weights)
