@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm import quality, toxicity
 from millrace.llm.ann import search
 from millrace.llm.decontam import decontaminate
+from millrace.llm.html_extract import extract
 from millrace.llm.labelled import id_remainder
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix, word_count
@@ -36,6 +37,11 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def _judged(scored: DataFrame, modulus: int, held_out: int, least: float) -> DataFrame:
     held = (id_remainder(F.col("doc_id"), modulus) == held_out).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_ann": op3_ann,
+    "op5_html_extraction": op5_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
