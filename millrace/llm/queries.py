@@ -14,6 +14,7 @@ from millrace.llm.html_extract import extract
 from millrace.llm.labelled import id_remainder
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix, word_count
+from millrace.llm.ngram_join import jaccard_components
 from millrace.llm.url_filter import filter_urls
 from millrace.sources import table
 
@@ -37,6 +38,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_ann": op3_ann,
+    "op4_ngram_join": op4_ngram_join,
     "op5_html_extraction": op5_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
