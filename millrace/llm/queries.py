@@ -15,6 +15,7 @@ from millrace.llm.labelled import id_remainder
 from millrace.llm.line_dedup import dedup_lines
 from millrace.llm.mixing import mix, word_count
 from millrace.llm.ngram_join import jaccard_components
+from millrace.llm.substring_dedup import remove_repeats
 from millrace.llm.url_filter import filter_urls
 from millrace.sources import table
 
@@ -47,6 +48,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _judged(scored: DataFrame, modulus: int, held_out: int, least: float) -> DataFrame:
     held = (id_remainder(F.col("doc_id"), modulus) == held_out).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann": op3_ann,
     "op4_ngram_join": op4_ngram_join,
     "op5_html_extraction": op5_html_extraction,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
