@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, draw: Column, rows: int, total: int) -> DataFrame:
+    """The `rows` rows of df (of `total`) with the smallest hash `draw` of those whose hash is in a thin residue class.
+
+    Depends on the rows alone, not on their partitions. The residue class leaves about four times as many rows as are
+    wanted, whatever the size of df, so that what partitions send to the driver doesn't grow with their number.
+    """
+    step = max(1, total // (4 * rows))
+    thin = df.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(step)) == 0) if step > 1 else df.withColumn("_draw", draw)
+    return thin.orderBy("_draw").limit(rows).drop("_draw")
+
+
 def appended(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
     """df without the columns that fields name (ours win), and the schema with fields at its end."""
     ours = {f.name.lower() for f in fields}

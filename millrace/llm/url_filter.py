@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, utf8
+from millrace.llm.common import appended, hashed_sample, utf8
 
 #: Ranges that urls are dealt to, for each shuffle partition, and the keys that their bounds are taken from.
 RANGES_PER_PARTITION, SAMPLED_KEYS = 4, 4096
@@ -59,7 +59,8 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     keyed = urls.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
     keyed = keyed.withColumn("_key", host_key(F.col("host"))).withColumn("_full", F.concat("_key", F.lit("\0"), "path"))
-    sample = sorted(r["_full"] for r in keyed.select("_full", F.xxhash64(*[F.col(f"`{c}`") for c in urls.columns if dict(urls.dtypes)[c] in ("bigint", "int")] or [F.col("_full")], "_full").alias("_draw")).orderBy("_draw", "_full").limit(SAMPLED_KEYS).collect())
+    drawn = hashed_sample(keyed.select("_full"), F.xxhash64("_full", F.monotonically_increasing_id()), SAMPLED_KEYS, urls.count())
+    sample = sorted(r["_full"] for r in drawn.collect())
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample[1:]
     marks = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
 
