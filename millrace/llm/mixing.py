@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import appended, materialise
 
-WEIGHTS, MOST, BLOCK_ROWS, NEWTON_STEPS = (1, 2, 3), 3, 20_000, 40
+WEIGHTS, MOST, BLOCK_ROWS, NEWTON_STEPS = (1, 2, 3), 3, 1_000, 40
 
 
 def word_count(text: Column) -> Column:
