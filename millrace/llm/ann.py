@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import hashed_sample
+
 #: The codes are fitted on at most SAMPLE rows of a dimension, those with the smallest hashes; RECALL is the share of the sample's neighbours that R must hold.
 SAMPLE, RECALL, ROUNDS, MAX_BITS = 4096, 0.985, 25, 256
 #: Rows and queries of a block; each row block meets each query block once.
@@ -132,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     n_rows = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_asked = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     for dim in sorted(n_rows.keys() & n_asked.keys()):
-        got = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("id", "v"), "id").limit(sample).select("v").toPandas()
+        got = hashed_sample(rows.where(F.col("dim") == dim).select("v", "id"), F.xxhash64("id", "v"), sample, n_rows[dim]).select("v").toPandas()
         books[dim] = fit(np.stack([np.asarray(v, np.float64) for v in got["v"]]), k)
         plan.append((dim, -(-n_rows[dim] // row_block), -(-n_asked[dim] // query_block)))
     sent = spark.sparkContext.broadcast(books)

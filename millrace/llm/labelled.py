@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import hashed_sample
+
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id is the empty text."""
@@ -19,7 +21,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, hel
     """
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"), F.max(label_col).alias("_most"))
     one = one.where((F.col("label") == F.col("_most")) & (id_remainder(F.col(id_col), modulus) != held_out)).select(F.col(id_col).alias("_id"), "label")
-    taken = [one.where(F.col("label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
+    counts = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    taken = [hashed_sample(one.where(F.col("label") == c), F.xxhash64("_id"), per_class, counts.get(c, 0)) for c in (0, 1)]
     ids = F.broadcast(taken[0].union(taken[1]))
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text")).join(ids, F.col(id_col) == F.col("_id")).select(F.xxhash64("_id").alias("draw"), "label", "text")
 
