@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import appended, materialise, mix, signed, sliding_min
 from millrace.llm.ngram_join import sized_join
 
-LENGTH, GRAM, MOST_BLOCKS = 200, 50, 2048
+LENGTH, GRAM, MOST_BLOCKS = 200, 50, 8192
 #: Bytes that are turned into arrays at once; one longer text is taken by itself.
 CHUNK = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
