@@ -32,13 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: What this process has written to the shared folder and not yet deleted.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage: what a lost executor held is read again from there."""
+    """Writes df to the shared folder and reads it back, which cuts its lineage: what a lost executor held is read again from there.
+
+    The operators' results read these tables, so they stay until `clean` is called.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that operators of this process wrote; to be called when their results are no longer read."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def hashed_sample(df: DataFrame, draw: Column, rows: int, total: int) -> DataFrame:
     """The `rows` rows of df (of `total`) with the smallest hash `draw` of those whose hash is in a thin residue class.
 
