@@ -6,13 +6,20 @@ its larger set, so a set signs for its own band and, where a larger partner may
 
 In a band whose pairs differ in at most k elements, the feature domain is partitioned by hash into n1 * n2 parts, and
 of each first-level partition's n2 = k2 + 1 second-level parts the subsets of n2 - k2 = 1 are enumerated: each part is
-one signature, the hash of what the set has there. There are somewhat more parts than k + 1. A pair that differs in d
-elements agrees in at least (parts - d) of them, so a set leaves out parts where it has fewer than two elements as
-long as fewer of them are sparse than must agree; that keeps empty parts from joining unlike sets.
-
-Sets that share a signature are a group. Groups never become all their pairs: each round compares a group's smallest
-member, its hub, with the others and takes the hub out; a group is done when its members are all in one component
-(or one is left). What is compared are the sets themselves, exactly. Equal sets are one class from the start.
+one signature, the hash of what the set has there. There are some more parts than k + 1. A set that can differ in at
+most d elements from its partners here signs with its d + 1 fullest parts only (ties by part number): of the parts in
+which a pair agrees at least one is among them, and then the fullest of those is among either set's. That keeps empty
+parts, and parts with little more than a passage that many texts share, from joining unlike sets.
+
+Sets that share a signature are a group. Groups never become all their pairs. First each member is compared with the
+smallest of its groups' smallest members (hubs), then, where it isn't yet in their components, with its other hubs.
+What remains are groups whose members are in several components. Sets that such groups connect are a cluster; a
+cluster's largest component and its other members are dealt into blocks by hash, and each block of others meets each
+block once, within one task that compares what is in different components. Where that would move more rows than the
+cluster's groups have (clusters that hang together by many small groups of unlike sets), the groups themselves meet in
+tasks; groups beyond `most_members` go on by hubs, one each round. Pairs whose histograms alone differ in more
+elements than a link allows are left out before their sets are read. What is compared are the sets themselves,
+exactly. Equal sets are one class from the start.
 
 Shingles and classes are compared by 64-bit hashes.
 """
@@ -23,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordHashes, grams, materialise, mix, signed, utf8
@@ -33,7 +40,9 @@ from millrace.llm.components import components
 BROADCAST_IDS = 1_000_000
 #: Documents whose signatures leave Python at once.
 EMIT_DOCS = 1000
-BAND_RATIO_STEPS, SLACK, DENSE = 3, 1.1, 2
+BAND_RATIO_STEPS, SLACK = 3, 1.25
+#: Members of a group that one task compares at most; members of a block; buckets of a set's histogram.
+MOST_MEMBERS, BLOCK, BUCKETS = 256, 512, 256
 
 
 def shingles(text: bytes | None, n: int, ids: WordHashes) -> np.ndarray:
@@ -88,9 +97,8 @@ class PartEnum:
             count = np.bincount(part, minlength=parts)
             a, b = np.bincount(part, low, parts).astype(np.uint64), np.bincount(part, high, parts).astype(np.uint64)
             sig = mix(a + mix(b + (np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)) * np.uint64(0xD6E8FEB86659FD93)))
-            dense = count >= DENSE
-            agree = parts - self.apart(size + min(largest, top))
-            out.append(sig[dense] if parts - int(dense.sum()) < agree else sig)
+            keep = min(parts, self.apart(size + min(largest, top)) + 1)
+            out.append(sig[np.argsort(count, kind="stable")[parts - keep :]])
         return np.concatenate(out)
 
 
@@ -130,15 +138,114 @@ def multi_groups(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, cls long")
 
 
-def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """node, label: the components that links make among the members of groups (sig, cls); sets has cls, n and elements."""
+class Forest:
+    """Union-find over the members of one group."""
+
+    def __init__(self, labels: list[int]) -> None:
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(label, i) for i, label in enumerate(labels)]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+
+def histogram(elements: np.ndarray) -> np.ndarray:
+    """Elements in each bucket of their hash, 255 at most: what two of them differ by, the sets differ by at least."""
+    return np.minimum(np.bincount((elements.view(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def settle(members: list[tuple], num: int, den: int, first: int | None = None) -> list[tuple[int, int]]:
+    """Links (pairs of classes) that join the members (class, label, sorted elements) as all their links would; with
+    `first`, as all links between the first so many and the others would."""
+    sizes = np.array([len(m[2]) for m in members])
+    shape = np.stack([histogram(m[2]) for m in members]).astype(np.int16)
+    forest, out = Forest([m[1] for m in members]), []
+    for i in range(len(members) - 1 if first is None else first):
+        rest = np.arange(i + 1 if first is None else first, len(members))
+        total = sizes[i] + sizes[rest]
+        near = (np.minimum(sizes[i], sizes[rest]) * den >= np.maximum(sizes[i], sizes[rest]) * num) & (np.abs(shape[rest] - shape[i]).sum(axis=1) * (den + num) <= total * (den - num))
+        for j in rest[near].tolist():
+            a, b = forest.root(i), forest.root(j)
+            if a != b and len(np.intersect1d(members[i][2], members[j][2], assume_unique=True)) * (den + num) >= (sizes[i] + sizes[j]) * num:
+                forest.up[max(a, b)] = min(a, b)
+                out.append((members[i][0], members[j][0]))
+    return out
+
+
+def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int, most_members: int = MOST_MEMBERS) -> DataFrame:  # noqa: C901
+    """node, label: the components that links make among the members of groups (sig, cls); sets has cls, n, shape and elements."""
     labels = None
-    left, right = sets.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("elements").alias("ex")), sets.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("elements").alias("ey"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (task, side, cls, label, elements) in order of task and side: side 1 meets side 2, or side 1 itself where there is no other."""
+        task, members, first, out = None, [], 0, []
+
+        def met() -> list[tuple[int, int]]:
+            return settle(members, num, den, first if first < len(members) else None) if len(members) > 1 and first else []
+
+        for batch in batches:
+            elements = batch.column(4)
+            for i, (t, side, c, label) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if t != task:
+                    out += met()
+                    task, members, first = t, [], 0
+                members.append((c, label, elements[i].values.to_numpy()))
+                first += side == 1
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out = []
+        out = met()
+        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def together(rows: DataFrame) -> DataFrame:
+        """The links that the tasks of rows (task, side, cls, label) find."""
+        fed = rows.join(sets.select("cls", "elements"), "cls").select("task", "side", "cls", "label", "elements")
+        return fed.repartition("task").sortWithinPartitions("task", "side", "cls").mapInArrow(compare, "a long, b long")
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Tasks for the clusters' rows (cluster, cls, label, main, others, mains: the numbers of blocks)."""
+        own = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")))
+        rows = rows.withColumn("block", own)
+        other, main = rows.where("NOT main"), rows.where("main")
+        facts = [F.col("cls"), F.col("label")]
+
+        def task(block: Column, kind: str, partner: Column) -> Column:
+            return F.concat_ws("/", F.col("cluster"), block, F.lit(kind), partner).alias("task")
+
+        parts = [
+            other.withColumn("p", F.explode(upto("mains"))).select(task(F.col("block"), "m", F.col("p")), F.lit(1).alias("side"), *facts),
+            main.withColumn("p", F.explode(upto("others"))).select(task(F.col("p"), "m", F.col("block")), F.lit(2).alias("side"), *facts),
+            other.withColumn("p", F.explode(F.sequence(F.col("block"), F.col("others") - 1))).select(task(F.col("block"), "o", F.col("p")), F.lit(1).alias("side"), *facts),
+            other.where("block > 0").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1))).select(task(F.col("p"), "o", F.col("block")), F.lit(2).alias("side"), *facts),
+        ]
+        return together(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
+
+    sizes, whole = sets.select("cls", "n", "shape"), sets.select("cls", "n", "elements")
+
+    def ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """pairs (x, y) with the facts of either end, as nx, ny and so on."""
+        for end in ("x", "y"):
+            pairs = pairs.join(facts.select(*[F.col(c).alias(end if c == "cls" else f"{c}_{end}") for c in facts.columns]), end)
+        return pairs
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, nx, ny = (batch.column(i).to_numpy() for i in range(4))
+            sx, sy = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5))
+            apart = np.abs(sx - sy).sum(axis=1)
+            at = np.flatnonzero((np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (apart * (den + num) <= (nx + ny) * (den - num)))
+            yield pa.record_batch([pa.array(x[at]), pa.array(y[at])], names=["x", "y"])
 
     def links(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "x").join(right, "y").where((F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num))
-        common = F.size(F.array_intersect("ex", "ey"))
-        return both.where(common * (den + num) >= (F.col("nx") + F.col("ny")) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        likely = ends(pairs, sizes).select("x", "y", "n_x", "n_y", "shape_x", "shape_y").mapInArrow(near, "x long, y long")
+        both = ends(materialise(likely, "jaccard-pairs"), whole)
+        common = F.size(F.array_intersect("elements_x", "elements_y"))
+        return both.where(common * (den + num) >= (F.col("n_x") + F.col("n_y")) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
         """labels with the components that the new links join."""
@@ -160,15 +267,40 @@ def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     # most members are linked by one comparison: that with the smallest of all their hubs
     first = hubs(groups).groupBy("cls").agg(F.min("hub").alias("hub")).where("cls <> hub").select(F.col("cls").alias("x"), F.col("hub").alias("y"))
     labels = relabelled(None, materialise(links(first), "jaccard-links"))
+    rounds = 0
     while True:
+        rounds += 1
         marked = labelled(groups, labels, "cls", "label")
-        open_ = marked.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("cls").alias("hub"), F.min(F.struct("cls", "label")).alias("h")).where("l0 < l1")
-        groups = materialise(marked.join(open_.select("sig", "hub", F.col("h.label").alias("hub_label")), "sig"), "jaccard-groups")
+        facts = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("cls", "label")).alias("h"), F.count(F.lit(1)).alias("members")]
+        # groups of the same members (by two hashes) need to be looked at once
+        facts += [F.bit_xor(F.xxhash64("cls")).alias("f0"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("f1")]
+        open_ = marked.groupBy("sig").agg(*facts).where("l0 < l1")
+        open_ = open_.groupBy("members", "f0", "f1").agg(F.min(F.struct("sig", "h")).alias("g")).select(F.col("g.sig").alias("sig"), F.col("g.h.cls").alias("hub"), F.col("g.h.label").alias("hub_label"), "members")
+        groups = materialise(marked.join(open_, "sig"), "jaccard-groups")
         if groups.isEmpty():
             return labels
-        pairs = groups.where("cls <> hub AND label <> hub_label").select(F.col("cls").alias("x"), F.col("hub").alias("y")).distinct()
-        labels = relabelled(labels, materialise(links(pairs), "jaccard-links"))
-        groups = groups.where("cls <> hub").select("sig", "cls")
+        if rounds == 1:
+            by_hub, found = groups, None
+        else:
+            stars = groups.where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+            clusters = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+            placed = materialise(groups.select("sig", "cls", "label", "hub", "hub_label", "members").join(clusters, "cls"), "jaccard-placed")
+            held = placed.select("cluster", "cls", "label").distinct()
+            counts = held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+            plan = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+            plan = plan.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("others"), F.ceil(F.col("top.n") / BLOCK).alias("mains"), "all", F.col("top.n").alias("n"))
+            moved = F.col("n") * F.col("others") + (F.col("all") - F.col("n")) * (F.col("mains") + F.col("others"))
+            plan = plan.join(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster").withColumn("blocks", moved <= 2 * F.col("rows"))
+            plan = materialise(plan, "jaccard-plan")
+            found = in_blocks(held.join(plan.where("blocks"), "cluster").withColumn("main", F.col("label") == F.col("top")).select("cluster", "cls", "label", "main", "others", "mains"))
+            rest = placed.join(plan.where("NOT blocks").select("cluster"), "cluster", "left_semi")
+            small = rest.where(F.col("members") <= most_members)
+            found = found.union(together(small.select(F.col("sig").cast("string").alias("task"), F.lit(1).alias("side"), "cls", "label")))
+            by_hub = rest.where(F.col("members") > most_members)
+        pairs = by_hub.where((F.col("cls") != F.col("hub")) & (F.col("label") != F.col("hub_label")))
+        linked = links(pairs.select(F.col("cls").alias("x"), F.col("hub").alias("y")).distinct())
+        labels = relabelled(labels, materialise(linked if found is None else linked.union(found), "jaccard-links"))
+        groups = by_hub.where(F.col("cls") != F.col("hub")).select("sig", "cls")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -219,10 +351,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows = [signed(sets[i]) for i in keep]
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
             ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(r) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "n", "elements"])
+            shapes = pa.array([histogram(r).tobytes() for r in rows], pa.binary())
+            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(r) for r in rows], pa.int64()), shapes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "n", "shape", "elements"])
 
     chosen = sized_join(docs, active, F.col("doc_id").eqNullSafe(F.col("least")), "inner", active.count())
-    sets = chosen.select("cls", "text").mapInArrow(elements, "cls long, n long, elements array<long>")
+    sets = chosen.select("cls", "text").mapInArrow(elements, "cls long, n long, shape binary, elements array<long>")
     sets = materialise(sets if measured.count() == measured.select("doc_id").distinct().count() else sets.dropDuplicates(["cls"]), "jaccard-sets")
     labels = link_groups(groups, sets, num, den)
 
