@@ -193,8 +193,9 @@ def test_partenum_similar_sets_share_a_signature():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 100), (None, 3)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 100}
+    for local in (0, 1000):
+        got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+        assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
