@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import appended, materialise
+from millrace.llm.ngram_join import sized_join
 
 WEIGHTS, MOST, BLOCK_ROWS, NEWTON_STEPS = (1, 2, 3), 3, 1_000, 40
 
@@ -77,21 +78,31 @@ def mix(
     """
     kinds = {"size": T.LongType(), "source_size": T.LongType(), "target": T.DoubleType(), "copies": T.IntegerType(), "taken": T.LongType()}
     docs, _ = appended(docs, [T.StructField(k, v) for k, v in kinds.items()])
-    names = [F.col(f"`{c}`") for c in docs.columns]
     sized = docs.withColumn("size", word_count(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     sums = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sums = materialise(sums, "mix-sums")
     rates = newton_rates(source_targets(sums.select("source", "source_size"), weights, most))
     rates = rates.join(sums.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), "source_size", "target", "rate", "rows")
     rates = materialise(rates, "mix-rates")
-    joined = sized.join(rates, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    # rows with ids of their own are decided on without their other columns, which then come back by id
+    narrow = sized.select(F.col(f"`{id_col}`").alias("_mix_id"), F.col(f"`{source_col}`").alias("_mix_from"), "size")
+    narrow = materialise(narrow, "mix-sizes")
+    n = narrow.count()
+    apart = n == narrow.select("_mix_id").distinct().count()
+    if apart:
+        carried, key, origin = narrow.select("_mix_id", "_mix_from", "size"), "_mix_id", "_mix_from"
+        kept = ["_mix_id"]
+    else:
+        carried, key, origin = sized, id_col, source_col
+        kept = docs.columns
+    joined = carried.join(rates, F.col(f"`{origin}`").eqNullSafe(F.col("_source")), "left")
     blocks = F.ceil(F.col("rows") / F.lit(block_rows))
-    draw = F.xxhash64(F.col(id_col).cast("string"))
+    draw = F.xxhash64(F.col(f"`{key}`").cast("string"))
     joined = joined.withColumn("_block", F.pmod(draw, blocks)).withColumn("_draw", draw)
-    order = ["_source", "_block", F.col("size").desc(), "_draw"]
-    dealt = joined.select(*names, "size", "source_size", "target", "rate", "_source", "_block", "_draw").repartition("_source", "_block").sortWithinPartitions(*order).drop("_draw")
-    width = len(docs.columns)
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
+    order = ["_source", "_block", F.col("size").desc(), "_draw", *([] if apart or text_col is None else [F.xxhash64(F.col(f"`{text_col}`").cast("string"))])]
+    dealt = joined.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "rate", "_source", "_block", "_draw").repartition("_source", "_block").sortWithinPartitions(*order).drop("_draw")
+    width = len(kept)
+    schema = T.StructType([*carried.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *[T.StructField(k, v) for k, v in kinds.items()]])
     out_names = schema.names
 
     def diffuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,4 +120,8 @@ def mix(
             taken = [k * w for k, w in zip(copies, size, strict=True)]
             yield pa.record_batch([*batch.columns[: width + 3], pa.array(copies, pa.int32()), pa.array(taken, pa.int64())], names=out_names)
 
-    return dealt.mapInArrow(diffuse, schema)
+    decided = dealt.mapInArrow(diffuse, schema)
+    if not apart:
+        return decided
+    decided = materialise(decided, "mix-copies")
+    return sized_join(docs, decided, F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_id")), "inner", n).drop("_mix_id")

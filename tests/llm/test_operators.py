@@ -65,7 +65,8 @@ def targets_of(sizes: dict, weights: tuple = (1, 2, 3), most: int = 3) -> dict:
         capped |= over
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("repeated", [False, True])
+def test_mixing(spark, repeated):
     rng = random.Random(2)
     rows, i = [], 0
     for source, n in (("a", 300), ("b", 40), ("z", 25), (None, 30), ("tiny", 2), ("empty", 3)):
@@ -73,10 +74,13 @@ def test_mixing(spark):
             text = None if rng.random() < 0.05 or source == "empty" else " ".join(["w"] * rng.choice([1, 2, 5, 30, 200]))
             rows.append((i, text, source, "x"))
             i += 1
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    if repeated:
+        rows += [rows[5], rows[5], (7, "other words here", "b", None)]
+    docs = spark.createDataFrame([*rows, (None, "x y", "a", None)], "doc_id long, text string, source string, size string")
+    rows.append((None, "x y", "a", None))
     got = mix(docs, block_rows=50).collect()
     again = mix(docs.repartition(7), block_rows=50).collect()
-    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.taken) for r in got) == sorted((r.doc_id or -1, r.taken) for r in again)
     sizes: dict = {}
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
