@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that one Python worker remembers the hash of.
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 #: Text bytes that are turned into arrays at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
