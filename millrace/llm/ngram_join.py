@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import WordHashes, grams, materialise, mix, signed, utf8
 from millrace.llm.components import components
@@ -303,13 +304,25 @@ def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int, most_mem
         groups = by_hub.where(F.col("cls") != F.col("hub")).select("sig", "cls")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach, the own included) for each row of docs.
+def classed(docs: DataFrame, text_col: str, n: int, to: str) -> DataFrame:
+    """docs with the hash of each row's shingle set in column `to`; null without shingles."""
 
-    Two rows link when den * intersection >= num * union of their shingle sets. Null and empty texts, and texts
-    without words, have no shingles and link with nothing: their component is their own id. Rows that share an id are
-    separate documents. A null id is passed over as component id unless all ids are null. An empty table gives an empty
-    table; other columns are ignored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordHashes()
+        for batch in batches:
+            sets = [shingles(t, n, ids) for t in utf8(batch.column(at).cast(pa.string()))]
+            cls = [int(signed(np.array([set_hash(s)], np.uint64))[0]) if len(s) else None for s in sets]
+            yield pa.record_batch([*batch.columns, pa.array(cls, pa.int64())], names=names)
+
+    names, at = [*docs.columns, to], docs.columns.index(text_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))
+
+
+def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, bool]:
+    """doc_id, n_shingles, cls (hash of the shingle set, null without shingles), component_id and stays for each row of docs, and whether all ids differ.
+
+    `stays` is true of the rows without shingles and, in each component, of the rows with its smallest id (null last)
+    and, of that id's sets in the component, the smallest cls. Components may share their smallest id.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scheme = (num, den)
@@ -356,20 +369,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     chosen = sized_join(docs, active, F.col("doc_id").eqNullSafe(F.col("least")), "inner", active.count())
     sets = chosen.select("cls", "text").mapInArrow(elements, "cls long, n long, shape binary, elements array<long>")
-    sets = materialise(sets if measured.count() == measured.select("doc_id").distinct().count() else sets.dropDuplicates(["cls"]), "jaccard-sets")
+    unique = measured.count() == measured.select("doc_id").distinct().count()
+    sets = materialise(sets if unique else sets.dropDuplicates(["cls"]), "jaccard-sets")
     labels = link_groups(groups, sets, num, den)
 
     grouped = classes.join(labels.select(F.col("node").alias("_n"), "label"), F.col("cls") == F.col("_n"), "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
-    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = materialise(grouped.join(smallest, "label").select(F.col("cls").alias("_cls"), "component_id"), "jaccard-components")
-    return measured.join(found, F.col("cls") == F.col("_cls"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("first"))
+    found = grouped.join(smallest, "label").select(F.col("cls").alias("_cls"), "component_id", (F.col("cls") == F.col("first.cls")).alias("_first"))
+    found = materialise(found, "jaccard-components")
+    rows = measured.join(found, F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    stays = F.col("cls").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.select("doc_id", "n_shingles", "cls", "component_id", stays.alias("stays")), unique
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach, the own included) for each row of docs.
+
+    Two rows link when den * intersection >= num * union of their shingle sets. Null and empty texts, and texts
+    without words, have no shingles and link with nothing: their component is their own id. Rows that share an id are
+    separate documents. A null id is passed over as component id unless all ids are null. An empty table gives an empty
+    table; other columns are ignored.
+    """
+    return judged_rows(docs, id_col, text_col, n, num, den)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; of several rows of that id one stays."""
-    judged = materialise(jaccard_components(docs, id_col, text_col, n, num, den), "jaccard-judged")
-    gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """docs with one document of each component, that with the smallest id (null last); documents without words all stay.
+
+    Rows that share an id are separate documents: where ids repeat, rows are told apart by id and shingle set, and of
+    several rows with the same id and set that would stay, one does.
+    """
+    judged, unique = judged_rows(docs, id_col, text_col, n, num, den)
+    judged = materialise(judged, "jaccard-judged")
+    gone = judged.where("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_gone_cls")).distinct()
     gone = materialise(gone, "jaccard-gone")
-    out = sized_join(docs, gone, F.col(id_col) == F.col("_gone"), "left_anti", gone.count())
-    again = judged.where("n_shingles > 0").groupBy("component_id", "doc_id").count().where("count > 1 AND doc_id = component_id")
-    return out if again.isEmpty() else out.dropDuplicates([id_col])
+    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col("_gone"))
+    if unique:
+        return sized_join(docs, gone, same_id, "left_anti", gone.count())
+    rows = classed(docs, text_col, n, "_set")
+    out = sized_join(rows, gone, same_id & (F.col("_set") == F.col("_gone_cls")), "left_anti", gone.count())
+    again = judged.where("stays AND cls IS NOT NULL").groupBy("doc_id", "cls").count().where("count > 1")
+    if not again.isEmpty():
+        alone = F.when(F.col("_set").isNull(), F.monotonically_increasing_id())  # documents without words aren't copies
+        out = out.withColumn("_alone", alone).dropDuplicates([id_col, "_set", "_alone"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
