@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Words that one Python worker remembers the hash of.
 WORD_CACHE = 50_000
+#: Bytes of a table that a join may broadcast.
+BROADCAST_BYTES = 32_000_000
 #: Text bytes that are turned into arrays at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -79,6 +81,19 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return pc.cast(column, pa.binary()).to_pylist()
 
 
+def texts(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a string column as UTF-8 bytes, one at a time."""
+    for value in pc.cast(column, pa.large_binary()):
+        yield value.as_py()
+
+
+def bounded_join(big: DataFrame, small: DataFrame, on: Column, how: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A join that broadcasts `small` only if its rows, each measured as text, are within the bound; else both sides are shuffled."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in small.columns), F.lit(24))
+    held = small.agg(F.sum(width)).first()[0] or 0
+    return big.join(F.broadcast(small) if held <= most_bytes else small, on, how)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered for a bounded number of words."""
 

@@ -2,26 +2,29 @@
 
 A document's set holds its distinct word shingles. Two sets of sizes x <= y with Jaccard similarity of num/den or more
 differ in at most (x + y) * (den - num) / (den + num) elements. Sizes are cut into bands; a pair meets in the band of
-its larger set, so a set signs for its own band and, where a larger partner may be there, for the next.
-
-In a band whose pairs differ in at most k elements, the feature domain is partitioned by hash into n1 * n2 parts, and
-of each first-level partition's n2 = k2 + 1 second-level parts the subsets of n2 - k2 = 1 are enumerated: each part is
-one signature, the hash of what the set has there. There are some more parts than k + 1. A set that can differ in at
-most d elements from its partners here signs with its d + 1 fullest parts only (ties by part number): of the parts in
-which a pair agrees at least one is among them, and then the fullest of those is among either set's. That keeps empty
-parts, and parts with little more than a passage that many texts share, from joining unlike sets.
-
-Sets that share a signature are a group. Groups never become all their pairs. First each member is compared with the
-smallest of its groups' smallest members (hubs), then, where it isn't yet in their components, with its other hubs.
-What remains are groups whose members are in several components. Sets that such groups connect are a cluster; a
-cluster's largest component and its other members are dealt into blocks by hash, and each block of others meets each
-block once, within one task that compares what is in different components. Where that would move more rows than the
-cluster's groups have (clusters that hang together by many small groups of unlike sets), the groups themselves meet in
-tasks; groups beyond `most_members` go on by hubs, one each round. Pairs whose histograms alone differ in more
-elements than a link allows are left out before their sets are read. What is compared are the sets themselves,
-exactly. Equal sets are one class from the start.
-
-Shingles and classes are compared by 64-bit hashes.
+its larger set, so a set signs for its own band and, where a larger partner may be there, for the next ones.
+
+In a band whose pairs differ in at most k elements, the feature domain is partitioned by hash into n1 first-level
+partitions, and each of them into N2 second-level ones. With n1 * (K2 + 1) > k, some first-level partition holds at most
+K2 differences, so that the pair agrees in one of its subsets of N2 - K2 second-level partitions. Every such subset is
+enumerated; its signature is the hash of what the set has there. n1 is somewhat larger than it needs to be, and of its
+subsets a set signs with the fullest only (ties by number): as many as d differences can spoil, and one more, where d is
+what its partners in this band can differ by. `spoilt` counts them. The fullest subset in which a pair agrees is among
+either set's, because only spoilt subsets can stand before it. That keeps empty subsets, and those with little more than a
+passage that many texts share, from joining unlike sets.
+
+Sets that share a signature are a group. Groups never become all their pairs:
+
+1. Each set is compared with the smallest of its groups' smallest members (hubs). Linked sets take their hub's label.
+2. Groups whose members have several labels stay open; of groups with the same members one stays. Sets that open groups
+   connect are a cluster. A cluster's largest label and its other members are dealt into blocks by hash, and each block
+   of others meets each block once, within one task that compares what has different labels. Where that would move more
+   rows than the cluster's groups have (clusters that hang together by many small groups of unlike sets), the groups
+   themselves meet, in blocks too where they are large. Blocks are bounded in sets and in elements.
+3. The links of both steps make the components.
+
+What is compared are the sets themselves, exactly. Equal sets are one class from the start. Shingles and classes are
+compared by 64-bit hashes. Rows of a group (16 bytes each) are streamed in order; nothing is held for a group.
 """
 
 from __future__ import annotations
@@ -32,18 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm.common import WordHashes, grams, materialise, mix, signed, utf8
+from millrace.llm.common import WordHashes, bounded_join, grams, materialise, mix, signed, texts
 from millrace.llm.components import components
 
-#: Ids that a broadcast may hold; beyond that the join shuffles.
-BROADCAST_IDS = 1_000_000
-#: Documents whose signatures leave Python at once.
-EMIT_DOCS = 1000
-BAND_RATIO_STEPS, SLACK = 3, 1.25
-#: Members of a group that one task compares at most; members of a block; buckets of a set's histogram.
-MOST_MEMBERS, BLOCK, BUCKETS = 256, 512, 256
+#: Signatures and elements that leave Python at once.
+EMIT = 200_000
+#: Second-level partitions, of which a subset leaves out K2; first-level partitions for each possible difference; bands.
+N2, K2, SLACK, BAND_STEPS = 3, 1, 0.6, 2
+#: Sets and elements of a block; buckets of a set's histogram.
+BLOCK, BLOCK_ELEMENTS, BUCKETS = 192, 2_000_000, 256
+#: Classes that a task remembers, so that it handles equal sets once.
+REMEMBERED = 500_000
 
 
 def shingles(text: bytes | None, n: int, ids: WordHashes) -> np.ndarray:
@@ -58,18 +61,28 @@ def set_hash(elements: np.ndarray) -> np.uint64:
     return mix(np.array([mix(elements ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64))[0]
 
 
+def class_of(elements: np.ndarray) -> int:
+    """The class of equal sets, as a signed long."""
+    return int(set_hash(elements).view(np.int64))
+
+
+def spoilt(n1: int, d: int) -> int:
+    """Subsets in which two sets can disagree that differ in d elements: a partition's first difference leaves only the subset without it whole."""
+    return d * (N2 - 1) if d <= n1 else min(n1 * N2, n1 * (N2 - 1) + d - n1)
+
+
 class PartEnum:
     """The signatures for one threshold, num / den."""
 
     def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.bands = num, den, {}
+        self.num, self.den = num, den
         self.edges = [(1, 1)]  # smallest and largest size of each band
 
     def band(self, size: int) -> int:
         while self.edges[-1][1] < size:
             low = self.edges[-1][1] + 1
             high = low
-            for _ in range(BAND_RATIO_STEPS):
+            for _ in range(BAND_STEPS):
                 high = high * self.den // self.num
             self.edges.append((low, max(low, high)))
         lo, hi = 0, len(self.edges) - 1
@@ -93,50 +106,51 @@ class PartEnum:
         for band in range(self.band(size), self.band(largest) + 1):
             top = self.edges[band][1]
             k = self.apart(2 * top)
-            parts = 1 if k == 0 else int(np.ceil(SLACK * (k + 1))) + 1
-            part = ((place * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-            count = np.bincount(part, minlength=parts)
-            a, b = np.bincount(part, low, parts).astype(np.uint64), np.bincount(part, high, parts).astype(np.uint64)
-            sig = mix(a + mix(b + (np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)) * np.uint64(0xD6E8FEB86659FD93)))
-            keep = min(parts, self.apart(size + min(largest, top)) + 1)
-            out.append(sig[np.argsort(count, kind="stable")[parts - keep :]])
+            if not k:  # only equal sets are similar
+                out.append(mix(np.array([v.sum(dtype=np.uint64) + np.uint64(band)], np.uint64)))
+                continue
+            n1 = int(np.ceil(SLACK * (k + 1)))
+            part = ((place * np.uint64(n1 * N2)) >> np.uint64(32)).astype(np.int64)
+            # of each subset of N2 - K2 partitions, that is all but one: how many elements it has, and the sums of their hashes
+            count, a, b = (x.reshape(n1, N2) for x in (np.bincount(part, minlength=n1 * N2), np.bincount(part, low, n1 * N2).astype(np.uint64), np.bincount(part, high, n1 * N2).astype(np.uint64)))
+            count, a, b = ((x.sum(axis=1, keepdims=True) - x).ravel() for x in (count, a, b))
+            keep = min(n1 * N2, spoilt(n1, self.apart(size + min(largest, top))) + 1)
+            full = np.argsort(count, kind="stable")[n1 * N2 - keep :]
+            out.append(mix(a[full] + mix(b[full] + (full.astype(np.uint64) + np.uint64((band + 1) << 32)) * np.uint64(0xD6E8FEB86659FD93))))
         return np.concatenate(out)
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list, how: str, rows: int, most: int = BROADCAST_IDS) -> DataFrame:
-    """A join that broadcasts `small` only if its counted rows are within the bound."""
-    return big.join(F.broadcast(small) if rows <= most else small, on, how)
-
-
 def multi_groups(rows: DataFrame) -> DataFrame:
-    """Of rows (sig, cls), those whose sig is with two or more different cls. Rows are streamed in order; one is held back."""
+    """sig, cls, hub: of rows (sig, cls), each once, those whose sig is with two or more different cls; hub is the sig's smallest cls.
+
+    Rows are streamed in order; one is held back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None  # the last group so far, while it has one member only
-        last: tuple[int, int] | None = None
+        sig0 = hub0 = last = None  # the last row's group, its hub, and the row's class
+        alone = False  # whether that row is the only one of its group so far, and not given out
         for batch in batches:
             sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(sig):
                 continue
             new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
-            if last is not None and (int(sig[0]), int(cls[0])) == last:
-                new[0] = False
+            new[0] = sig0 is None or (sig[0], cls[0]) != (sig0, last)
             sig, cls = sig[new], cls[new]
             if not len(sig):
                 continue
-            if held is not None:
-                sig, cls = np.r_[np.int64(held[0]), sig], np.r_[np.int64(held[1]), cls]
-            same = sig[1:] == sig[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            if held is None and last is not None and sig[0] == last[0]:
-                keep[0] = True
-                # the rows before were given out already
-            alone = not keep[-1]
-            last = (int(sig[-1]), int(cls[-1]))
-            held = last if alone else None
-            yield pa.record_batch([pa.array(sig[keep]), pa.array(cls[keep])], names=["sig", "cls"])
+            goes_on = sig0 is not None and not alone and sig[0] == sig0
+            if alone:
+                sig, cls = np.r_[sig0, sig], np.r_[last, cls]
+            start = np.r_[True, sig[1:] != sig[:-1]]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
+            hub = cls[first]
+            keep = np.r_[False, ~start[1:]] | np.r_[~start[1:], False]
+            if goes_on:
+                hub[first == 0], keep[0] = hub0, True
+            sig0, hub0, last, alone = sig[-1], hub[-1], cls[-1], not keep[-1]
+            yield pa.record_batch([pa.array(x[keep]) for x in (sig, cls, hub)], names=["sig", "cls", "hub"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, cls long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(run, "sig long, cls long, hub long")
 
 
 class Forest:
@@ -176,12 +190,32 @@ def settle(members: list[tuple], num: int, den: int, first: int | None = None) -
     return out
 
 
-def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int, most_members: int = MOST_MEMBERS) -> DataFrame:  # noqa: C901
-    """node, label: the components that links make among the members of groups (sig, cls); sets has cls, n, shape and elements."""
-    labels = None
+def upto(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """task, side, cls, label: of rows (kind, of, cls, label, main, others, mains), dealt by hash into `others` and `mains` blocks,
+    each block of others meets each block of mains, each other one of others, and itself."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    own, p = F.col("block"), F.col("p")
+    met = [
+        ("NOT main AND mains > 0", upto(F.col("mains")), own, "m", p, 1),
+        ("main AND others > 0", upto(F.col("others")), p, "m", own, 2),
+        ("NOT main", F.sequence(own, F.col("others") - 1), own, "o", p, 1),
+        ("NOT main AND block > 0", upto(own), p, "o", own, 2),
+    ]
+    parts = [rows.where(who).withColumn("p", F.explode(each)).select(F.xxhash64("kind", "of", a, F.lit(how), b).alias("task"), F.lit(side).alias("side"), "cls", "label") for who, each, a, how, b, side in met]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """node, label: the components that links make among the members of groups (sig, cls, hub); sets has cls, n and elements."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (task, side, cls, label, elements) in order of task and side: side 1 meets side 2, or side 1 itself where there is no other."""
+        """Rows (task, side, cls, label, elements) in order of task and side: side 1 meets side 2, or side 1 itself where there is no other.
+
+        Two tasks under one hash would be taken for one, which compares more and misses only what sides 1 or 2 have among themselves."""
         task, members, first, out = None, [], 0, []
 
         def met() -> list[tuple[int, int]]:
@@ -200,186 +234,133 @@ def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int, most_mem
         out = met()
         yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def together(rows: DataFrame) -> DataFrame:
-        """The links that the tasks of rows (task, side, cls, label) find."""
-        fed = rows.join(sets.select("cls", "elements"), "cls").select("task", "side", "cls", "label", "elements")
-        return fed.repartition("task").sortWithinPartitions("task", "side", "cls").mapInArrow(compare, "a long, b long")
-
-    def upto(n: str) -> Column:
-        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-
-    def in_blocks(rows: DataFrame) -> DataFrame:
-        """Tasks for the clusters' rows (cluster, cls, label, main, others, mains: the numbers of blocks)."""
-        own = F.pmod(F.xxhash64("cls"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others")))
-        rows = rows.withColumn("block", own)
-        other, main = rows.where("NOT main"), rows.where("main")
-        facts = [F.col("cls"), F.col("label")]
-
-        def task(block: Column, kind: str, partner: Column) -> Column:
-            return F.concat_ws("/", F.col("cluster"), block, F.lit(kind), partner).alias("task")
-
-        parts = [
-            other.withColumn("p", F.explode(upto("mains"))).select(task(F.col("block"), "m", F.col("p")), F.lit(1).alias("side"), *facts),
-            main.withColumn("p", F.explode(upto("others"))).select(task(F.col("p"), "m", F.col("block")), F.lit(2).alias("side"), *facts),
-            other.withColumn("p", F.explode(F.sequence(F.col("block"), F.col("others") - 1))).select(task(F.col("block"), "o", F.col("p")), F.lit(1).alias("side"), *facts),
-            other.where("block > 0").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1))).select(task(F.col("p"), "o", F.col("block")), F.lit(2).alias("side"), *facts),
-        ]
-        return together(parts[0].union(parts[1]).union(parts[2]).union(parts[3]))
-
-    sizes, whole = sets.select("cls", "n", "shape"), sets.select("cls", "n", "elements")
-
-    def ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        """pairs (x, y) with the facts of either end, as nx, ny and so on."""
-        for end in ("x", "y"):
-            pairs = pairs.join(facts.select(*[F.col(c).alias(end if c == "cls" else f"{c}_{end}") for c in facts.columns]), end)
-        return pairs
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, nx, ny = (batch.column(i).to_numpy() for i in range(4))
-            sx, sy = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5))
-            apart = np.abs(sx - sy).sum(axis=1)
-            at = np.flatnonzero((np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (apart * (den + num) <= (nx + ny) * (den - num)))
-            yield pa.record_batch([pa.array(x[at]), pa.array(y[at])], names=["x", "y"])
-
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = ends(pairs, sizes).select("x", "y", "n_x", "n_y", "shape_x", "shape_y").mapInArrow(near, "x long, y long")
-        both = ends(materialise(likely, "jaccard-pairs"), whole)
-        common = F.size(F.array_intersect("elements_x", "elements_y"))
-        return both.where(common * (den + num) >= (F.col("n_x") + F.col("n_y")) * num).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
-        """labels with the components that the new links join."""
-        if labels is None:
-            return components(found)
-        ends = labelled(labelled(found, labels, "a", "la"), labels, "b", "lb")
-        joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        old = labels.join(joined, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
-        fresh = joined.select(F.col("_n").alias("node"), F.col("_l").alias("label")).join(labels.select("node"), "node", "left_anti")
-        return materialise(old.union(fresh), "jaccard-labels")
-
-    def labelled(df: DataFrame, labels: DataFrame, node: str, to: str) -> DataFrame:
-        own = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        return df.join(own, F.col(node) == F.col("_node"), "left").withColumn(to, F.coalesce("_label", node)).drop("_node", "_label")
-
-    def hubs(g: DataFrame) -> DataFrame:
-        return g.join(g.groupBy("sig").agg(F.min("cls").alias("hub")), "sig")
-
     # most members are linked by one comparison: that with the smallest of all their hubs
-    first = hubs(groups).groupBy("cls").agg(F.min("hub").alias("hub")).where("cls <> hub").select(F.col("cls").alias("x"), F.col("hub").alias("y"))
-    labels = relabelled(None, materialise(links(first), "jaccard-links"))
-    rounds = 0
-    while True:
-        rounds += 1
-        marked = labelled(groups, labels, "cls", "label")
-        facts = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("cls", "label")).alias("h"), F.count(F.lit(1)).alias("members")]
-        # groups of the same members (by two hashes) need to be looked at once
-        facts += [F.bit_xor(F.xxhash64("cls")).alias("f0"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("f1")]
-        open_ = marked.groupBy("sig").agg(*facts).where("l0 < l1")
-        open_ = open_.groupBy("members", "f0", "f1").agg(F.min(F.struct("sig", "h")).alias("g")).select(F.col("g.sig").alias("sig"), F.col("g.h.cls").alias("hub"), F.col("g.h.label").alias("hub_label"), "members")
-        groups = materialise(marked.join(open_, "sig"), "jaccard-groups")
-        if groups.isEmpty():
-            return labels
-        if rounds == 1:
-            by_hub, found = groups, None
-        else:
-            stars = groups.where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-            clusters = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-            placed = materialise(groups.select("sig", "cls", "label", "hub", "hub_label", "members").join(clusters, "cls"), "jaccard-placed")
-            held = placed.select("cluster", "cls", "label").distinct()
-            counts = held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
-            plan = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-            plan = plan.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("others"), F.ceil(F.col("top.n") / BLOCK).alias("mains"), "all", F.col("top.n").alias("n"))
-            moved = F.col("n") * F.col("others") + (F.col("all") - F.col("n")) * (F.col("mains") + F.col("others"))
-            plan = plan.join(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster").withColumn("blocks", moved <= 2 * F.col("rows"))
-            plan = materialise(plan, "jaccard-plan")
-            found = in_blocks(held.join(plan.where("blocks"), "cluster").withColumn("main", F.col("label") == F.col("top")).select("cluster", "cls", "label", "main", "others", "mains"))
-            rest = placed.join(plan.where("NOT blocks").select("cluster"), "cluster", "left_semi")
-            small = rest.where(F.col("members") <= most_members)
-            found = found.union(together(small.select(F.col("sig").cast("string").alias("task"), F.lit(1).alias("side"), "cls", "label")))
-            by_hub = rest.where(F.col("members") > most_members)
-        pairs = by_hub.where((F.col("cls") != F.col("hub")) & (F.col("label") != F.col("hub_label")))
-        linked = links(pairs.select(F.col("cls").alias("x"), F.col("hub").alias("y")).distinct())
-        labels = relabelled(labels, materialise(linked if found is None else linked.union(found), "jaccard-links"))
-        groups = by_hub.where(F.col("cls") != F.col("hub")).select("sig", "cls")
-
-
-def classed(docs: DataFrame, text_col: str, n: int, to: str) -> DataFrame:
-    """docs with the hash of each row's shingle set in column `to`; null without shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, n, ids) for t in utf8(batch.column(at).cast(pa.string()))]
-            cls = [int(signed(np.array([set_hash(s)], np.uint64))[0]) if len(s) else None for s in sets]
-            yield pa.record_batch([*batch.columns, pa.array(cls, pa.int64())], names=names)
-
-    names, at = [*docs.columns, to], docs.columns.index(text_col)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))
-
-
-def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, bool]:
-    """doc_id, n_shingles, cls (hash of the shingle set, null without shingles), component_id and stays for each row of docs, and whether all ids differ.
+    first = groups.groupBy("cls").agg(F.min("hub").alias("hub")).where("cls <> hub").join(sets.select("cls", "n", "elements"), "cls")
+    hubs = sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("elements").alias("hub_elements"))
+    near = first.join(hubs, "hub").where((F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.size(F.array_intersect("elements", "hub_elements")) * (den + num) >= (F.col("n") + F.col("hub_n")) * num))
+    links = materialise(near.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "jaccard-links")
+    labels = links.select("a", "b").join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cls"), F.coalesce("c", "b").alias("label"))
+
+    marked = groups.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    # groups of the same members (by two hashes) need to be looked at once
+    facts = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cls")).alias("f0"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("f1")]
+    open_ = marked.groupBy("sig").agg(*facts).where("l0 < l1").groupBy("members", "f0", "f1").agg(F.min("sig").alias("sig")).select("sig", "members")
+    placed = materialise(marked.join(open_, "sig"), "jaccard-open")
+    clusters = components(placed.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    held = clusters.select(F.col("node").alias("cls"), F.col("label").alias("cluster")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(sets.select("cls", "n"), "cls")
+    held = materialise(held, "jaccard-held")
+
+    def block(largest: Column) -> Column:
+        return F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / largest)))
+
+    counts = held.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("size"))
+    plan = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.max("size").alias("size")).withColumn("block", block(F.col("size")))
+    plan = plan.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / F.col("block")).alias("others"), F.ceil(F.col("top.n") / F.col("block")).alias("mains"), "all", F.col("top.n").alias("n"))
+    moved = F.col("n") * F.col("others") + (F.col("all") - F.col("n")) * (F.col("mains") + F.col("others"))
+    rows = placed.join(held.select("cls", "cluster", "n"), "cls")
+    plan = materialise(plan.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster").withColumn("blocks", moved <= 2 * F.col("rows")), "jaccard-plan")
+    whole = held.join(plan.where("blocks"), "cluster").select(F.lit("c").alias("kind"), F.col("cluster").alias("of"), "cls", "label", (F.col("label") == F.col("top")).alias("main"), "others", "mains")
+    rest = rows.join(plan.where("NOT blocks").select("cluster"), "cluster", "left_semi")
+    largest = rest.groupBy("sig").agg(F.max("n").alias("size"))
+    rest = rest.join(largest, "sig").select(F.lit("g").alias("kind"), F.col("sig").alias("of"), "cls", "label", F.lit(False).alias("main"), F.ceil(F.col("members") / block(F.col("size"))).alias("others"), F.lit(0).cast("long").alias("mains"))
+    fed = meetings(whole.union(rest)).join(sets.select("cls", "elements"), "cls").select("task", "side", "cls", "label", "elements")
+    settled = fed.repartition("task").sortWithinPartitions("task", "side", "cls").mapInArrow(compare, "a long, b long")
+    return components(links.union(materialise(settled, "jaccard-settled")))
+
+
+def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, cls (hash of the shingle set, null without shingles), component_id and stays for each row of docs.
 
     `stays` is true of the rows without shingles and, in each component, of the rows with its smallest id (null last)
     and, of that id's sets in the component, the smallest cls. Components may share their smallest id.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
     scheme = (num, den)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordHashes()
         for batch in batches:
-            sets = [shingles(t, n, ids) for t in utf8(batch.column(1))]
-            cls = [int(signed(np.array([set_hash(s)], np.uint64))[0]) if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
+            sizes, cls = [], []
+            for text in texts(batch.column(2)):
+                own = shingles(text, n, ids)
+                sizes.append(len(own))
+                cls.append(class_of(own) if len(own) else None)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "key", "n_shingles", "cls"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    measured = materialise(docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, cls long"), "jaccard-docs")
-    classes = measured.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    measured = materialise(docs.select("doc_id", "key", "text").mapInArrow(measure, f"doc_id {kind}, key long, n_shingles long, cls long"), "jaccard-docs")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, made = WordHashes(), PartEnum(*scheme)
+        seen: set[int] = set()  # equal sets of a task sign once
+        sigs, classes, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            none = [np.empty(0, np.uint64)]
+            return pa.record_batch([pa.array(signed(np.concatenate(sigs or none))), pa.array(np.concatenate(classes or [np.empty(0, np.int64)]))], names=["sig", "cls"])
+
         for batch in batches:
-            seen: set[int] = set()  # equal sets of a batch sign once
-            sigs, classes = [], []
-            for i, text in enumerate(utf8(batch.column(0))):
+            for text in texts(batch.column(0)):
                 own = shingles(text, n, ids)
-                if len(own) and (h := int(set_hash(own))) not in seen:
-                    seen.add(h)
-                    sigs.append(made.signatures(own))
-                    classes.append(np.full(len(sigs[-1]), h, np.uint64))
-                if sigs and (i % EMIT_DOCS == EMIT_DOCS - 1 or i == batch.num_rows - 1):
-                    yield pa.record_batch([pa.array(signed(np.concatenate(sigs))), pa.array(signed(np.concatenate(classes)))], names=["sig", "cls"])
-                    sigs, classes = [], []
+                if not len(own) or (c := class_of(own)) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(c)
+                sigs.append(made.signatures(own))
+                classes.append(np.full(len(sigs[-1]), c, np.int64))
+                held += len(sigs[-1])
+                if held >= EMIT:
+                    yield out()
+                    sigs, classes, held = [], [], 0
+        yield out()
 
     groups = materialise(multi_groups(docs.select("text").mapInArrow(sign, "sig long, cls long")), "jaccard-groups")
-    active = materialise(groups.select("cls").distinct().join(classes, "cls"), "jaccard-active")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = materialise(measured.where("cls IS NOT NULL").groupBy("cls").agg(least.alias("least")), "jaccard-classes")
+    active = classes.join(groups.select("cls").distinct(), "cls").select("cls", F.col("least.doc_id").alias("_least"), F.col("least.key").alias("_key"))
+    active = materialise(active, "jaccard-active")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, n, ids) for t in utf8(batch.column(1))]
-            keep = [i for i, (s, c) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if len(s) and int(signed(np.array([set_hash(s)], np.uint64))[0]) == c]
-            rows = [signed(sets[i]) for i in keep]
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-            ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-            shapes = pa.array([histogram(r).tobytes() for r in rows], pa.binary())
-            yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(r) for r in rows], pa.int64()), shapes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "n", "shape", "elements"])
+        seen: set[int] = set()  # repeated rows of a task are given out once
 
-    chosen = sized_join(docs, active, F.col("doc_id").eqNullSafe(F.col("least")), "inner", active.count())
-    sets = chosen.select("cls", "text").mapInArrow(elements, "cls long, n long, shape binary, elements array<long>")
-    unique = measured.count() == measured.select("doc_id").distinct().count()
-    sets = materialise(sets if unique else sets.dropDuplicates(["cls"]), "jaccard-sets")
-    labels = link_groups(groups, sets, num, den)
+        def out() -> pa.RecordBatch:
+            ends = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+            flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            return pa.record_batch([pa.array(cls, pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["cls", "n", "elements"])
 
-    grouped = classes.join(labels.select(F.col("node").alias("_n"), "label"), F.col("cls") == F.col("_n"), "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
-    smallest = grouped.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("first"))
-    found = grouped.join(smallest, "label").select(F.col("cls").alias("_cls"), "component_id", (F.col("cls") == F.col("first.cls")).alias("_first"))
-    found = materialise(found, "jaccard-components")
-    rows = measured.join(found, F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    stays = F.col("cls").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows.select("doc_id", "n_shingles", "cls", "component_id", stays.alias("stays")), unique
+        for batch in batches:
+            cls, rows, held = [], [], 0
+            for c, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                own = shingles(text, n, ids)
+                if c in seen or not len(own) or class_of(own) != c:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(c)
+                cls.append(c)
+                rows.append(signed(own))
+                held += len(own)
+                if held >= EMIT:
+                    yield out()
+                    cls, rows, held = [], [], 0
+            yield out()
+
+    same = F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("key") == F.col("_key"))
+    chosen = bounded_join(docs, active, same, "inner")
+    # a row that stands several times may come from several tasks; what is compared twice gives the same links
+    sets = materialise(chosen.select("cls", "text").mapInArrow(elements, "cls long, n long, elements array<long>"), "jaccard-sets")
+    labels = link_groups(groups, sets, num, den).select(F.col("node").alias("cls"), "label")
+
+    # written tables meet here, so that a class or component with many rows is split between tasks
+    linked = materialise(classes.join(labels, "cls"), "jaccard-linked")
+    smallest = linked.groupBy("label").agg(F.min(F.struct(F.col("least.none").alias("none"), F.col("least.doc_id").alias("doc_id"), "cls")).alias("f"))
+    first = linked.select("cls", "label").join(materialise(smallest, "jaccard-smallest"), "label").select("cls", "f")
+    judged = classes.join(first, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("f.doc_id", "least.doc_id").alias("_component"), F.coalesce(F.col("f.cls") == F.col("cls"), F.lit(True)).alias("_first"))
+    rows = measured.join(judged, F.col("cls") == F.col("_cls"), "left")
+    stays = F.col("cls").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_component")))
+    return rows.select("doc_id", "key", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), stays.alias("stays"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -390,26 +371,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     separate documents. A null id is passed over as component id unless all ids are null. An empty table gives an empty
     table; other columns are ignored.
     """
-    return judged_rows(docs, id_col, text_col, n, num, den)[0].select("doc_id", "n_shingles", "component_id")
+    return judged_rows(docs, id_col, text_col, n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """docs with one document of each component, that with the smallest id (null last); documents without words all stay.
 
-    Rows that share an id are separate documents: where ids repeat, rows are told apart by id and shingle set, and of
-    several rows with the same id and set that would stay, one does.
+    Rows that share an id are separate documents: rows are told apart by id and text, and of several rows with the same
+    id and shingle set that would stay, one does (that with the smallest text hash). An empty table gives an empty
+    table; other columns stay as they are.
     """
-    judged, unique = judged_rows(docs, id_col, text_col, n, num, den)
-    judged = materialise(judged, "jaccard-judged")
-    gone = judged.where("NOT stays").select(F.col("doc_id").alias("_gone"), F.col("cls").alias("_gone_cls")).distinct()
-    gone = materialise(gone, "jaccard-gone")
-    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col("_gone"))
-    if unique:
-        return sized_join(docs, gone, same_id, "left_anti", gone.count())
-    rows = classed(docs, text_col, n, "_set")
-    out = sized_join(rows, gone, same_id & (F.col("_set") == F.col("_gone_cls")), "left_anti", gone.count())
-    again = judged.where("stays AND cls IS NOT NULL").groupBy("doc_id", "cls").count().where("count > 1")
-    if not again.isEmpty():
-        alone = F.when(F.col("_set").isNull(), F.monotonically_increasing_id())  # documents without words aren't copies
-        out = out.withColumn("_alone", alone).dropDuplicates([id_col, "_set", "_alone"])
+    judged = materialise(judged_rows(docs, id_col, text_col, n, num, den), "jaccard-judged")
+    again = judged.where("stays AND cls IS NOT NULL").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least")).where("rows > 1")
+    again = materialise(again, "jaccard-again")
+    gone = judged.where("NOT stays").select("doc_id", "key")
+    repeats = not again.isEmpty()
+    if repeats:
+        other = again.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"), "least")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls"))
+        gone = gone.union(judged.where("stays").join(other, same).where("key <> least").select("doc_id", "key"))
+    gone = materialise(gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "jaccard-gone")
+    rows = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    out = bounded_join(rows, gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    if repeats:
+        bare = judged.where("cls IS NULL").select(F.col("key").alias("_bare")).distinct()  # documents without words aren't copies
+        alone = F.when(F.col("_bare").isNotNull(), F.monotonically_increasing_id())
+        out = out.join(bare, F.col("_key") == F.col("_bare"), "left").withColumn("_alone", alone).dropDuplicates([id_col, "_key", "_alone"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

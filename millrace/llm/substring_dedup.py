@@ -25,8 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, materialise, mix, signed, sliding_min
-from millrace.llm.ngram_join import sized_join
+from millrace.llm.common import appended, bounded_join, materialise, mix, signed, sliding_min
 
 LENGTH, GRAM, MOST_BLOCKS = 200, 50, 8192
 #: Bytes that are turned into arrays at once; one longer text is taken by itself.
@@ -262,7 +261,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "content", "bytes", "at", "windows"])
 
     held_by = F.col("h1").eqNullSafe(F.col("q1")) & F.col("h2").eqNullSafe(F.col("q2"))
-    contexts = sized_join(texts, asked, held_by, "inner", asked.count(), 100_000).mapInArrow(fetch, "anchor long, content long, bytes binary, at int, windows int")
+    contexts = bounded_join(texts, asked, held_by, "inner").mapInArrow(fetch, "anchor long, content long, bytes binary, at int, windows int")
     contexts = materialise(contexts, "substring-contexts")
     sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_blocks)
     large = materialise(sizes.select("anchor"), "substring-large")
