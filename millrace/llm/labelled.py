@@ -1,7 +1,8 @@
-"""Bounded samples of labelled documents for the classifiers."""
+"""Bounded samples of labelled documents for the classifiers, and logistic regression."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,17 @@ def base_rate(labels: DataFrame, label_col: str, modulus: int, held_out: int, id
     own = labels.where(F.col(label_col).isin(0, 1) & (id_remainder(F.col(id_col), modulus) != held_out))
     got = own.agg(F.sum(F.col(label_col).cast("double")).alias("ones"), F.count(F.lit(1)).alias("n")).first()
     return ((got["ones"] or 0.0) + 0.5) / (got["n"] + 1.0)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 0.05, steps: int = 30, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; ridge (one, or one for each weight) pulls towards the prior, or to 0."""
+    w = np.zeros(x.shape[1])
+    start = w if prior is None else prior
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge * np.ones(len(w)))
+        move = np.linalg.solve(hess, x.T @ (y - p) - ridge * (w - start))
+        w = w + np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-8:
+            break
+    return w

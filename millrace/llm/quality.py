@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from millrace.llm.common import appended, utf8
-from millrace.llm.labelled import base_rate, sample
+from millrace.llm.labelled import base_rate, logistic, sample
 
 #: Labelled documents of each class at most, bytes of a dictionary, compression level.
 PER_CLASS, DICT_BYTES, LEVEL = 1000, 112_640, 3
@@ -47,19 +47,6 @@ def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCom
     return 1.0, 10 * (b - g) / (b + g), max(0.0, 0.30 - ratio) * 10, ratio
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        move = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
-        w += np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
-
-
 def dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary; the bare texts where there are too few to train one."""
     try:

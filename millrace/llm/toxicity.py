@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters: words and word beginnings that stand out in toxic labelled documents (a lexicon mined from a bounded sample),
-and patterns of writing (capitals, exclamation marks, repeated letters, long runs of signs). A generative model with
-a hidden class estimates how often each voter fires in either class by expectation maximisation, anchored at the
-labelled rows, and from the votes' covariances within a class how much voters repeat each other; repeated votes
-count less. Its posteriors are the labels on which a linear classifier over all lexicon entries and patterns is
-trained; the classifier scores the whole text of every document.
+patterns of writing (capitals, exclamation marks, repeated letters, long runs of signs), and the silence of the lexicon.
+A generative model with a hidden class estimates by expectation maximisation how often each voter fires in either
+class, from the votes on labelled and on unlabelled documents alike: the labels choose the voters and give the first
+estimates, but they have no vote on any document, so a wrong label is outvoted by what its document says. From the votes'
+covariances within a class the model learns how much voters repeat each other; repeated votes count less. Its
+posteriors are the labels on which a linear classifier over all lexicon entries and patterns is trained; the classifier
+scores the whole text of every document.
 """
 
 from __future__ import annotations
@@ -18,44 +20,51 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import WORD_CACHE, appended
-from millrace.llm.labelled import base_rate, sample
-from millrace.llm.quality import logistic
+from millrace.llm.common import WORD_CACHE, appended, hashed_sample
+from millrace.llm.labelled import base_rate, logistic, sample
 
-#: Labelled documents of each class at most; lexicon entries; times that a toxic document is to be covered by entries.
-PER_CLASS, ENTRIES, COVER = 1500, 400, 4
+#: Labelled documents of each class at most; unlabelled ones; lexicon entries; times that a toxic document is to be covered by entries.
+PER_CLASS, UNLABELLED, ENTRIES, COVER = 1500, 3000, 400, 4
+#: Bytes of a document that the model learns from, and of the distinct words of all of them that the driver takes, at most.
+DOC_BYTES, SAMPLE_BYTES = 200_000, 24_000_000
 SHORTEST, LONGEST = 4, 9
-WORD = re.compile(r"[^\W\d_]+")
-PATTERNS = (
-    lambda t: sum(map(str.isupper, t)) > 0.4 * max(1, len(t)),
-    lambda t: t.count("!") * 20 > max(1, t.count(" ")),
-    lambda t: re.search(r"(\w)\1{3}", t) is not None,
-    lambda t: re.search(r"[*#$%&@]{3}", t) is not None,
-)
-
-
-def entries_of(word: str) -> Iterator[str]:
-    """The lexicon entries that a word can fire: itself and its beginnings."""
-    yield f"={word}"
+#: Pseudo-rows that a voter's first rates count as; correlation from which two voters repeat each other (below, it is mostly the mix of languages).
+STRENGTH, TIED = 20.0, 0.4
+#: Bytes that part words: all of ASCII but letters.
+PARTS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
+SIGNS = re.compile(rb"[*#$%&@]{3}")
+REPEATS = re.compile(rb"([a-z])\1{3}")
+PATTERNS = 4
+
+
+def entries_of(word: bytes) -> Iterator[bytes]:
+    """The lexicon entries that a word can fire: itself and its beginnings (in bytes)."""
+    yield b"=" + word
     for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
-        yield f"^{word[:n]}"
+        yield b"^" + word[:n]
 
 
-def facts(text: str | None) -> tuple[set[str], list[bool]]:
+def facts(text: str | None) -> tuple[set[bytes], list[bool]]:
     """The distinct words of a text, in lower case, and which patterns it shows."""
     text = text or ""
-    return set(WORD.findall(text.lower())), [bool(p(text)) for p in PATTERNS]
+    raw, low = np.frombuffer(text.encode("utf-8", "replace"), np.uint8), text.lower().encode("utf-8", "replace")
+    capitals = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
+    # a letter that stands four times: found by comparison first, as the pattern is slow
+    again = len(raw) > 3 and bool(((raw[3:] == raw[:-3]) & (raw[2:-1] == raw[:-3]) & (raw[1:-2] == raw[:-3])).any()) and REPEATS.search(low) is not None
+    shown = [capitals > 0.4 * max(1, len(text)), text.count("!") * 20 > max(1, text.count(" ")), again, SIGNS.search(low) is not None]
+    return set(low.translate(PARTS).split()), shown
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, int]
+    lexicon: dict[bytes, int]
     weights: np.ndarray  # of the lexicon entries, then of the patterns, then the constant
 
 
-def mine(words: list[set[str]], labels: np.ndarray, entries: int = ENTRIES, cover: int = COVER) -> list[str]:
+def mine(words: list[set[bytes]], labels: np.ndarray, entries: int = ENTRIES, cover: int = COVER) -> list[bytes]:
     """Entries that stand out in toxic rows, so chosen that each toxic row is covered up to `cover` times."""
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     ones, zeros = Counter(), Counter()
@@ -68,12 +77,12 @@ def mine(words: list[set[str]], labels: np.ndarray, entries: int = ENTRIES, cove
             zeros.update({e for w in own for e in entries_of(w)} & likely)
     good = {e for e in likely if ones[e] / n1 > 12 * (zeros[e] + 0.3) / n0}
     # of entries that fire alike, the longest is kept
-    at: dict[str, list[int]] = {}
+    at: dict[bytes, list[int]] = {}
     for i, own in enumerate(fired):
         for e in own & good:
             at.setdefault(e, []).append(i)
-    alike: dict[tuple, str] = {}
-    for e in sorted(at, key=lambda e: (len(e), e[0] == "=", e)):
+    alike: dict[tuple, bytes] = {}
+    for e in sorted(at, key=lambda e: (len(e), e[:1] == b"=", e)):
         alike[(tuple(at[e]), zeros[e])] = e
     need, chosen = np.full(len(fired), cover), []
     left = {e: np.array(at[e]) for e in alike.values()}
@@ -87,52 +96,70 @@ def mine(words: list[set[str]], labels: np.ndarray, entries: int = ENTRIES, cove
     return chosen
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, trust: float = 0.97) -> np.ndarray:
-    """Posterior of class 1 for each row of votes (fired or not); the given label is one more voter, right with probability `trust`."""
-    v, q = votes.astype(float), labels.astype(float)
-    prior = np.clip(q.mean(), 0.01, 0.99)
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 25, strength: float = STRENGTH, tied: float = TIED) -> np.ndarray:
+    """Posterior of class 1 for each row of votes (fired or not; a voter that doesn't fire abstains).
+
+    labels: 0, 1, or -1 where there is none. They only give each voter's first rates, which go on as `strength` pseudo-rows.
+    """
+    v, prior = votes.astype(float), float(np.clip(prior, 0.01, 0.99))
+    first = [(v[labels == c].sum(0) + 0.5) / ((labels == c).sum() + 1.0) for c in (1, 0)]
+    rates, repeat = first, np.ones(v.shape[1])
     for _ in range(rounds):
-        a = (v * q[:, None]).sum(0) + 0.5
-        b = (v * (1 - q)[:, None]).sum(0) + 0.5
-        a, b = a / (q.sum() + 1.0), b / ((1 - q).sum() + 1.0)
-        a, b = np.clip(a, 1e-4, 1 - 1e-4), np.clip(b, 1e-4, 1 - 1e-4)
+        a, b = (np.clip(r, 1e-4, 1 - 1e-4) for r in rates)
+        odds = np.log(prior / (1 - prior)) + (v * np.log(a / b) * repeat).sum(1)
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        rates = [((v * w[:, None]).sum(0) + strength * f) / (w.sum() + strength) for w, f in zip((q, 1 - q), first, strict=True)]
         # correlation within the classes: what a voter repeats of others counts once
-        rest = v - np.outer(q, a) - np.outer(1 - q, b)
+        rest = v - np.outer(q, rates[0]) - np.outer(1 - q, rates[1])
         scale = np.sqrt((rest**2).mean(0)) + 1e-6
         corr = (rest / scale).T @ (rest / scale) / max(1, len(v))
-        repeat = 1 / np.clip(np.clip(corr, 0, 1).sum(0), 1, None)
-        odds = np.log(prior / (1 - prior)) + (v * np.log(a / b) * repeat).sum(1)  # a voter that doesn't fire abstains
-        odds += np.log(trust / (1 - trust)) * (2 * labels - 1)
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        q = post
+        repeat = 1 / np.clip(np.where(corr >= tied, corr, 0.0).sum(0), 1, None)
     return q
 
 
-def fit(rows: list[tuple[int, set[str], list[bool]]], rate: float) -> Model:
-    labels = np.array([r[0] for r in rows], float)
+def fit(rows: list[tuple[int, set[bytes], list[bool]]], rate: float) -> Model:
+    """A model from rows of label (0, 1 or -1: none), words and patterns shown; `rate` is the share of label 1."""
+    labels = np.array([r[0] for r in rows], int)
     base = np.log(rate / (1 - rate))
-    if not rows or labels.min() == labels.max():
-        return Model({}, np.r_[np.zeros(len(PATTERNS)), base])
-    lexicon = {e: i for i, e in enumerate(mine([r[1] for r in rows], labels))}
-    votes = np.zeros((len(rows), len(lexicon) + len(PATTERNS)), bool)
+    if not (labels == 0).any() or not (labels == 1).any():
+        return Model({}, np.r_[np.zeros(PATTERNS), base])
+    known = [r for r in rows if r[0] >= 0]
+    lexicon = {e: i for i, e in enumerate(mine([r[1] for r in known], labels[labels >= 0].astype(float)))}
+    n = len(lexicon)
+    votes = np.zeros((len(rows), n + PATTERNS + 1), bool)
     for i, (_, words, shown) in enumerate(rows):
         votes[i, [lexicon[e] for w in words for e in entries_of(w) if e in lexicon]] = True
-        votes[i, len(lexicon) :] = shown
-    post = label_model(votes, labels)
-    weights = logistic(np.c_[votes.astype(float), np.ones(len(rows))], post, ridge=0.01)
-    share = post.mean()
-    weights[-1] += base - np.log(share / (1 - share))  # classes were sampled by themselves
+        votes[i, n : n + PATTERNS] = shown
+    votes[:, -1] = ~votes[:, :n].any(axis=1)  # the silent lexicon votes too
+    post = label_model(votes, labels, rate)
+    weights = logistic(np.c_[votes[:, :-1].astype(float), np.ones(len(rows))], post, ridge=0.01)
+    share = np.clip(post.mean(), 1e-6, 1 - 1e-6)
+    weights[-1] += base - np.log(share / (1 - share))  # labelled rows were sampled class by class
     return Model(lexicon, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, label_col: str = "toxic", per_class: int = PER_CLASS, unlabelled: int = UNLABELLED) -> Model:
+    """A model from a bounded sample of labelled documents and one of documents whose labels aren't looked at.
+
+    Labels of the held-out remainder are never read. Null ids, labels, texts, ids with several labels and documents
+    of more than DOC_BYTES are left out of the samples (never of the scoring); repeated rows count as often as they stand. Without
+    labels of both classes every text gets the share of label 1.
+    """
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [facts(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("draw"), batch.column("label"), pa.array([sorted(x[0]) for x in got], pa.list_(pa.string())), pa.array([x[1] for x in got], pa.list_(pa.bool_()))], names=["draw", "label", "words", "shown"])
-
-    taken = sample(docs, labels, label_col, modulus, held_out, per_class).mapInArrow(words, "draw long, label int, words array<string>, shown array<boolean>")
-    rows = [(r["label"], set(r["words"]), r["shown"]) for r in taken.orderBy("draw", "words").toLocalIterator()]
+            yield pa.record_batch([batch.column("draw"), batch.column("label"), pa.array([sorted(x[0]) for x in got], pa.list_(pa.binary())), pa.array([x[1] for x in got], pa.list_(pa.bool_()))], names=["draw", "label", "words", "shown"])
+
+    fits = docs.where(F.octet_length("text") <= DOC_BYTES)
+    known = sample(fits, labels, label_col, modulus, held_out, per_class)
+    some = hashed_sample(fits.select(F.xxhash64("text").alias("draw"), F.lit(-1).alias("label"), "text"), F.xxhash64("draw"), unlabelled, fits.count())
+    taken = known.union(some).mapInArrow(words, "draw long, label int, words array<binary>, shown array<boolean>")
+    rows, size = [], 0
+    for r in taken.orderBy(F.col("label").desc(), "draw", "words").toLocalIterator():
+        size += sum(map(len, r["words"]))
+        if size <= SAMPLE_BYTES:
+            rows.append((r["label"], set(map(bytes, r["words"])), r["shown"]))
     return fit(rows, base_rate(labels, label_col, modulus, held_out))
 
 
@@ -148,7 +175,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
     class Fires(dict):
         """The entries that a word fires, remembered for a bounded number of words."""
 
-        def __missing__(self, word: str) -> tuple[int, ...]:
+        def __missing__(self, word: bytes) -> tuple[int, ...]:
             if len(self) >= WORD_CACHE:
                 self.clear()
             lexicon = sent.value.lexicon
