@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import quality, toxicity
 from millrace.llm.ann import search
 from millrace.llm.html_extract import extract, main_text, minimum_cut
-from millrace.llm.mixing import mix, newton_rates
+from millrace.llm.mixing import mix, multipliers
 from millrace.llm.queries import URL_RULES
 from millrace.llm.url_filter import filter_urls
 
@@ -95,9 +95,41 @@ def test_mixing(spark, repeated):
 
 
 def test_newton_solves_the_dual(spark):
-    rows = [("a", 100, 1.0), ("b", 100, 300.0), ("c", 7, 7.0), ("d", 0, 0.0), ("e", 5, 0.0)]
-    got = {r.source: r.rate for r in newton_rates(spark.createDataFrame(rows, "source string, source_size long, target double")).collect()}
-    assert got == pytest.approx({"a": 0.01, "b": 3.0, "c": 1.0, "d": 0.0, "e": 0.0})
+    """The tilted rates meet the token constraints, and no other rates that meet them are closer to 1 in entropy."""
+    rng = random.Random(8)
+    own = {"a": [rng.choice([1, 5, 40, 300]) for _ in range(60)], None: [rng.randint(1, 9) for _ in range(20)], "full": [3, 4], "even": [10, 20], "empty": [0, 0]}
+    share = {"a": 0.2, None: 2.4, "full": 3.0, "even": 1.0, "empty": 0.0}
+    sizes = spark.createDataFrame([(s, w) for s, ws in own.items() for w in ws], "source string, size long")
+    targets = spark.createDataFrame([(s, sum(ws), share[s] * sum(ws)) for s, ws in own.items()], "source string, source_size long, target double")
+    got = {r.source: r for r in multipliers(sizes, targets).collect()}
+    assert got["full"].m is None and got["even"].m == pytest.approx(0.0, abs=1e-6) and got["empty"].m == 0.0
+    for s in ("a", None):
+        w, m = np.array(own[s], float), got[s].m
+        rates = np.minimum(3, np.exp(m * w / got[s].mean))
+        assert got[s].mean == pytest.approx(w.mean()) and (rates * w).sum() == pytest.approx(share[s] * w.sum(), rel=1e-8) and len(set(np.round(rates, 9))) > 1
+
+        def entropy(r: np.ndarray) -> float:
+            return float((r * np.log(r) - r + 1).sum())
+
+        free = np.flatnonzero(rates < 3)
+        for _ in range(50):
+            i, j = rng.sample(free.tolist(), 2)
+            other = rates.copy()
+            step = 0.01 * rng.random() * min(rates[i] * w[i], rates[j] * w[j])
+            other[i] -= step / w[i]
+            other[j] += step / w[j]
+            assert other.max() > 3 or entropy(other) >= entropy(rates) - 1e-9
+
+
+def test_long_documents_are_made_up_for(spark):
+    """Blocks of which one document is most are off; the source as a whole isn't."""
+    rng = random.Random(9)
+    rows = [(i, "long" if i % 100 == 0 else "s", 300_000 if i % 1000 == 0 else rng.randint(100, 200)) for i in range(4000)]
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", n) for i, _, n in rows], "doc_id long, source string, words long")
+    got = mix(docs, text_col=None, size_col="words", block_rows=400).collect()
+    for source in ("a", "b"):
+        own = [r for r in got if r.source == source]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.001)
 
 
 def test_nearest_neighbours(spark):
@@ -107,7 +139,7 @@ def test_nearest_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [float("inf")] + [0.0] * 15), (1004, [1.0, 2.0]), (1005, []), (None, [1.0] * 16), (1007, [None] + [1.0] * 15), (1100, [1.0, 2.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = search(vectors, vectors.where("vec_id % 50 = 0"), k=10, row_block=200, query_block=8).collect()
+    got = search(vectors, vectors.where("vec_id % 50 = 0"), k=10, row_block=200).collect()
     by: dict = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
