@@ -49,9 +49,24 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reach) AS comp
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p - 1, 400)) AS k FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 199)) AS p FROM d)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, TRUE) AS opens FROM w SEMI JOIN c USING (k)),
+g AS (SELECT doc_id, p, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + 199 AS b FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+x AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS ends, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(ends, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1,
     "op4_ngram_join": OP4,
+    "op6_substring_dedup": OP6,
     "op9_decontamination": OP9,
     "op10_line_dedup": OP10,
 }

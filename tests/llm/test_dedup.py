@@ -14,7 +14,7 @@ from millrace.llm.components import components
 from millrace.llm.decontam import decontaminate, words_of
 from millrace.llm.line_dedup import CuckooFilter, LineIndex, dedup_lines
 from millrace.llm.ngram_join import PartEnum, jaccard_components, keep_one
-from millrace.llm.substring_dedup import Powers, Strings, remove_repeats
+from millrace.llm.substring_dedup import Powers, Strings, blocks_in, remove_repeats
 
 DOCS = "doc_id long, text string, lang string, n_words long"
 
@@ -230,3 +230,32 @@ def test_decontamination(spark, docs, block_bytes):
     assert decontaminate(docs.limit(0), bench).count() == 0
 
 
+
+
+def test_pieces_of_a_long_text_have_its_blocks_windows(monkeypatch):
+    """However a text is cut, each window is in one block, with the same anchor."""
+    text = " ".join(words(random.Random(11), 900)).encode()
+
+    def windows(chunk: int) -> dict:
+        monkeypatch.setattr("millrace.llm.substring_dedup.CHUNK", chunk)
+        out: dict = {}
+        for got in blocks_in([b"short", text, text[:500]], 60, 20, Powers()):
+            for t, first, last, at, anchor in zip(got.text.tolist(), got.first.tolist(), got.last.tolist(), got.at.tolist(), got.anchor.tolist(), strict=True):
+                for start in range(first, last + 1):
+                    assert (t, start) not in out
+                    out[t, start] = at - start, anchor
+        return out
+
+    whole = windows(1_000_000)
+    assert len(whole) == len(text) - 59 + 441 and windows(700) == windows(333) == whole
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(220_000)).encode()
+    passage = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=350)).encode()
+    for mark, at in ((b"1", 10), (b"2", 999_700), (b"3", 2_000_100)):
+        text = text[:at] + mark + passage + mark + text[at:]
+    got = remove_repeats(spark.createDataFrame([(1, text.decode()), (2, None), (None, "x" + passage.decode())], "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert (by[1].n_removed, by[1].n_spans) == (1050, 3) and bytes(by[1].kept) == text.replace(passage, b"") and bytes(by[None].kept) == b"x" and by[2].n_bytes == 0
