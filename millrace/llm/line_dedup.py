@@ -6,8 +6,10 @@ that hold a key and the largest of them. Keys in `min_docs` documents or more ar
 those of the largest document.
 
 The cuckoo filters, one for each shard of the key space, stand in front of the exact table: they hold the heavy keys,
-support insertion and deletion, and have no false negatives. A line that its filter doesn't know stays without any
-look at the exact table; the others are looked up there, so false positives never drop a line.
+support insertion and deletion, and have no false negatives. Documents that come or go change the reference counts of
+their keys; a key that becomes heavy is inserted into its shard's filter, one that no longer is gets deleted from it, and
+only a shard that is full is built anew, larger. A line that its filter doesn't know stays without any look at the exact
+table; the others are looked up there, so false positives never drop a line.
 
 Keys are compared by 128-bit hashes.
 """
@@ -19,15 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import appended, materialise, signed, utf8
 
 MIN_CHARS, MIN_DOCS, SHARDS = 40, 5, 64
-#: Heavy keys (32 bytes each with their document) and bytes of filters that are sent to every executor at most. Beyond either, joins do the work.
-BROADCAST_KEYS, BROADCAST_FILTER_BYTES = 1_000_000, 64_000_000
+#: Bytes of heavy keys with their documents, and of filters, that are sent to every executor at most. Beyond the first the
+#: suspected lines are joined with the exact table; beyond the second the lines go to the filters, each of which is in SALTS places.
+BROADCAST_KEY_BYTES, BROADCAST_FILTER_BYTES, SALTS = 32_000_000, 64_000_000, 8
 
 
 class CuckooFilter:
@@ -148,24 +151,74 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast(id_type), F.col(text_col).cast("string")).mapInArrow(emit, f"h1 long, h2 long, doc {id_type}, refs long")
 
 
+FILTERS = "shard int, n long, filter binary"
+
+
 class LineIndex:
-    """The exact reference table of a corpus; insertions and deletions of documents give a new, reversible state.
+    """The exact reference table of a corpus with its filters; insertions and deletions of documents give a new, reversible state.
 
-    `table` has h1, h2, doc, refs, one row for each key and document, refs above 0.
+    `table` has h1, h2, doc, refs, one row for each key and document, refs above 0; `filters` has shard, n (keys) and
+    filter, for the shards that have heavy keys.
     """
 
-    def __init__(self, table: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> None:
+    def __init__(self, table: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS, filters: DataFrame | None = None) -> None:
         self.table, self.min_chars, self.min_docs, self.shards = table, min_chars, min_docs, shards
+        self._heavy: DataFrame | None = None
+        self.filters = self.built(self.heavy()) if filters is None else filters
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
         refs = references(docs, id_col, text_col, min_chars)
         return cls(refs.groupBy("h1", "h2", "doc").agg(F.sum("refs").alias("refs")), min_chars, min_docs, shards)
 
+    def heavy(self) -> DataFrame:
+        """Keys in min_docs documents or more: h1, h2, n_docs, keep (the largest document)."""
+        if self._heavy is None:
+            self._heavy = materialise(self.counts(self.table).where(F.col("n_docs") >= self.min_docs), "line-heavy")
+        return self._heavy
+
+    @staticmethod
+    def counts(table: DataFrame) -> DataFrame:
+        return table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keep"))
+
+    def shard(self) -> Column:
+        return F.pmod("h2", F.lit(self.shards)).cast("int").alias("shard")
+
+    def built(self, heavy: DataFrame) -> DataFrame:
+        """Filters of the heavy keys of each shard."""
+
+        def build(_: tuple, t: pa.Table) -> pa.Table:
+            made = CuckooFilter.build(t.column("h1").to_numpy().view(np.uint64))
+            return pa.table({"shard": t.column("shard")[:1], "n": pa.array([len(t)], pa.int64()), "filter": pa.array([made.dump()], pa.binary())})
+
+        keyed = heavy.select(self.shard(), "h1")
+        return materialise(keyed.groupBy("shard").applyInArrow(build, FILTERS), "line-filters")
+
     def _merged(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
-        more = references(docs, id_col, text_col, self.min_chars).withColumn("refs", sign * F.col("refs"))
+        more = materialise(references(docs, id_col, text_col, self.min_chars).withColumn("refs", sign * F.col("refs")), "line-changes")
         merged = self.table.unionByName(more).groupBy("h1", "h2", "doc").agg(F.sum("refs").alias("refs"))
-        return LineIndex(materialise(merged.where("refs > 0"), "line-index"), self.min_chars, self.min_docs, self.shards)
+        merged = materialise(merged.where("refs > 0"), "line-index")
+        # of the keys that the documents have: which became heavy, and which no longer are
+        touched = more.select("h1", "h2").distinct()
+        was, now = (self.counts(t.join(touched, ["h1", "h2"], "left_semi")).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", F.lit(True).alias(name)) for t, name in ((self.table, "was"), (merged, "now")))
+        moves = was.join(now, ["h1", "h2"], "full").where("was IS NULL OR now IS NULL").select(self.shard(), "h1", F.col("now").isNotNull().alias("comes"))
+        after = LineIndex(merged, self.min_chars, self.min_docs, self.shards, self.filters)
+
+        def update(t: pa.Table, moved: pa.Table) -> pa.Table:
+            """The shard's filter after deletions and insertions; without a filter if it is full."""
+            held = CuckooFilter.load(t.column("filter")[0].as_py()) if len(t) else CuckooFilter(8)
+            hashes, comes = moved.column("h1").to_numpy().view(np.uint64), moved.column("comes").to_numpy(zero_copy_only=False)
+            for h in hashes[~comes].tolist():
+                held.delete(h)
+            full = not all(held.insert(h) for h in hashes[comes].tolist())
+            n = (t.column("n")[0].as_py() if len(t) else 0) + int(comes.sum()) - int((~comes).sum())
+            shard = (t if len(t) else moved).column("shard")[:1]
+            return pa.table({"shard": shard.cast(pa.int32()), "n": pa.array([n], pa.int64()), "filter": pa.array([None if full else held.dump()], pa.binary())})
+
+        updated = materialise(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(update, FILTERS), "line-filters")
+        full = [r["shard"] for r in updated.where("filter IS NULL").select("shard").collect()]  # shards at most
+        after.filters = updated if not full else updated.where("filter IS NOT NULL").union(after.built(after.heavy().where(after.shard().isin(full))))
+        return after
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with docs added."""
@@ -175,49 +228,34 @@ class LineIndex:
         """The index without docs, whose texts are those inserted before: inserting and deleting the same rows changes nothing."""
         return self._merged(docs, -1, id_col, text_col)
 
-    def heavy(self) -> DataFrame:
-        """Keys in min_docs documents or more: h1, h2, n_docs, keep (the largest document)."""
-        per_key = self.table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keep"))
-        return per_key.where(F.col("n_docs") >= self.min_docs)
-
-    def filters(self, heavy: DataFrame) -> DataFrame:
-        """A cuckoo filter of the heavy keys of each shard: shard, n, filter."""
-
-        def build(_: tuple, t: pa.Table) -> pa.Table:
-            made = CuckooFilter.build(t.column("h1").to_numpy().view(np.uint64))
-            return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(t)], pa.int64()), "filter": pa.array([made.dump()], pa.binary())})
-
-        keyed = heavy.select(F.pmod("h2", F.lit(self.shards)).cast("int").alias("shard"), "h1")
-        return keyed.groupBy("shard").applyInArrow(build, "shard int, n long, filter binary")
-
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-    shards: int = SHARDS, index: LineIndex | None = None, broadcast_keys: int = BROADCAST_KEYS, broadcast_filter_bytes: int = BROADCAST_FILTER_BYTES,
+    shards: int = SHARDS, index: LineIndex | None = None, broadcast_key_bytes: int = BROADCAST_KEY_BYTES, broadcast_filter_bytes: int = BROADCAST_FILTER_BYTES,
 ) -> DataFrame:
     """docs with the lines that stay, in text_col, and n_lines (before) and n_dropped at the end.
 
     A null or empty text has one empty line. A key counts once for each distinct id; rows that share an id are one
     document. An empty table gives an empty table. Columns of docs named n_lines or n_dropped give way to ours.
     `index` is the state to decide by; without it, that of docs. Filters and exact keys are broadcast while they are
-    within the bounds; beyond, the suspected lines are joined with the exact table instead.
+    within the bounds; beyond, lines are shuffled to the filters, and the suspected ones joined with the exact table.
     """
     spark = docs.sparkSession
     index = index or LineIndex.build(docs, id_col, text_col, min_chars, min_docs, shards)
-    heavy = materialise(index.heavy(), "line-heavy")
-    n_heavy = heavy.count()
+    heavy = index.heavy()
+    width_of = F.lit(16) + F.coalesce(F.octet_length(F.col("keep").cast("string")), F.lit(0))
+    key_bytes = heavy.agg(F.sum(width_of)).first()[0] or 0
+    filter_bytes = index.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     id_type = dict(heavy.dtypes)["keep"]
     docs, schema = appended(docs, [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     id_at, text_at, shards, min_chars = docs.columns.index(id_col), docs.columns.index(text_col), index.shards, index.min_chars
     width, names = len(docs.columns), schema.names
 
-    small = n_heavy * 4 <= broadcast_filter_bytes  # of a filter's two bytes a slot, at most half are free
-    filters = {r["shard"]: r["filter"] for r in index.filters(heavy).toLocalIterator()} if small else {}
+    small = filter_bytes <= broadcast_filter_bytes
+    filters = {r["shard"]: r["filter"] for r in index.filters.toLocalIterator()} if small else {}
     sent = spark.sparkContext.broadcast(filters)
 
     def suspected(held: dict[int, CuckooFilter], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        if not small:
-            return np.ones(len(h1), bool)
         out, shard = np.zeros(len(h1), bool), signed(h2) % shards
         for s in np.unique(shard):
             if int(s) in held:
@@ -232,10 +270,12 @@ def dedup_lines(
         columns += [pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64())]
         return pa.record_batch(columns, names=names)
 
-    if small and n_heavy <= broadcast_keys:
-        rows = heavy.select("h1", "h2", "keep").toPandas()
-        order = np.lexsort((rows["h2"].to_numpy(), rows["h1"].to_numpy())) if n_heavy else np.empty(0, np.int64)
-        exact = spark.sparkContext.broadcast((rows["h1"].to_numpy(np.int64)[order], rows["h2"].to_numpy(np.int64)[order], rows["keep"].to_numpy(object)[order]))
+    if small and key_bytes <= broadcast_key_bytes:
+        rows = heavy.select("h1", "h2", "keep").toArrow()
+        h1, h2 = (rows.column(x).to_numpy().astype(np.int64) for x in ("h1", "h2"))
+        order = np.lexsort((h2, h1))
+        keep = rows.column("keep").take(pa.array(order, pa.int64()))
+        exact = spark.sparkContext.broadcast((h1[order], h2[order], keep.combine_chunks()))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {s: CuckooFilter.load(x) for s, x in sent.value.items()}
@@ -259,7 +299,7 @@ def dedup_lines(
                     there = np.minimum(place + step, len(e1) - 1)
                     for j in np.flatnonzero((e1[there] == a) & (e2[there] == b)):
                         k = likely[j]
-                        if ids[doc[k]] != keep[there[j]]:
+                        if ids[doc[k]] != keep[int(there[j])].as_py():
                             dropped[doc[k]].add(at[k])
                 yield rebuilt(batch, texts, lines, dropped)
 
@@ -274,10 +314,12 @@ def dedup_lines(
                 keys += own
                 doc += [i] * len(own)
             h1, h2 = _halves(keys)
-            at = np.flatnonzero(suspected(held, h1, h2))
+            at = np.flatnonzero(suspected(held, h1, h2)) if small else np.arange(len(h1))
             yield pa.record_batch([pa.array(signed(h1)[at]), pa.array(signed(h2)[at]), pa.array([doc[k] for k in at], pa.int64() if id_type == "bigint" else pa.string())], names=["h1", "h2", "doc"])
 
     lines = docs.select(F.col(id_col).cast(id_type), F.col(text_col).cast("string")).mapInArrow(suspects, f"h1 long, h2 long, doc {id_type}")
+    if not small:
+        lines = _asked(lines, index, id_type)
     gone = lines.join(heavy, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keep"))).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
     joined = docs.join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col).cast(id_type).eqNullSafe(F.col("_doc")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_gone")
 
@@ -293,3 +335,30 @@ def dedup_lines(
             yield rebuilt(batch, texts, lines, dropped)
 
     return joined.mapInArrow(cut, schema)
+
+
+def _asked(lines: DataFrame, index: LineIndex, id_type: str) -> DataFrame:
+    """Of lines (h1, h2, doc) those that the filter of their shard knows: each filter stands in SALTS places, where the lines of a share of the documents come by."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of shard, salt and filter, which comes first; the lines are streamed."""
+        at, held = None, None
+        for batch in batches:
+            shard, salt, keep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, bool)
+            first = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])])
+            for lo, hi in zip(first, np.r_[first[1:], len(shard)], strict=True):
+                if at != (shard[lo], salt[lo]):
+                    at, held = (shard[lo], salt[lo]), None
+                if batch.column(2)[int(lo)].is_valid:
+                    held = CuckooFilter.load(batch.column(2)[int(lo)].as_py())
+                    lo += 1
+                if held is not None:
+                    keep[lo:hi] = held.contains(batch.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            took = pa.array(np.flatnonzero(keep), pa.int64())
+            yield pa.record_batch([batch.column(i).take(took) for i in (3, 4, 5)], names=["h1", "h2", "doc"])
+
+    none = F.lit(None)
+    places = index.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "filter", none.cast("long").alias("h1"), none.cast("long").alias("h2"), none.cast(id_type).alias("doc"))
+    own = lines.select(index.shard(), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), none.cast("binary").alias("filter"), "h1", "h2", "doc")
+    fed = places.union(own).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return fed.mapInArrow(ask, f"h1 long, h2 long, doc {id_type}")

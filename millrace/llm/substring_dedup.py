@@ -255,8 +255,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     # the bytes of the blocks that are to be compared
     is_partial, is_witness = F.col("kind").bitwiseAND(PARTIAL) > 0, F.col("kind").bitwiseAND(WITNESS) > 0
-    asked = judged.where(is_partial | is_witness).join(judged.where(is_partial).select("anchor").distinct(), "anchor", "left_semi")
-    asked = asked.groupBy("anchor", "content").agg(F.min(F.struct("h1", "h2")).alias("h")).select(F.col("h.h1").alias("q1"), F.col("h.h2").alias("q2"), F.struct("anchor", "content").alias("block"))
+    unsure = materialise(judged.where(is_partial).select("anchor").distinct(), "substring-anchors")
+    asked = judged.where(is_partial | is_witness).groupBy("anchor", "content").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    asked = asked.join(unsure, "anchor", "left_semi").select(F.col("h.h1").alias("q1"), F.col("h.h2").alias("q2"), F.struct("anchor", "content").alias("block"))
     asked = materialise(asked.groupBy("q1", "q2").agg(F.collect_list("block").alias("blocks")), "substring-asked")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,11 +288,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         )
         for low, high in zip(cuts, cuts[1:], strict=False)
     ]
-    keyed = contexts.dropDuplicates(["anchor", "content"]).withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = materialise(sizes, "substring-sizes")
-    small = keyed.join(sizes.where(F.col("n") <= most_blocks).select("key"), "key").select("key", "content", "anchor", "bytes", "at", "windows")
-    large = keyed.join(sizes.where(F.col("n") > most_blocks).select("key"), "key", "left_semi").select("anchor", "content", "bytes", "at", "windows").dropDuplicates(["anchor", "content"])
+    keyed = contexts.select("anchor", "content", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    keyed = materialise(keyed.distinct(), "substring-keys")
+    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-sizes")
+    block = ["anchor", "content"]
+    small = keyed.join(sizes.where(F.col("n") <= most_blocks).select("key"), "key").join(contexts, block).select("key", "content", "anchor", "bytes", "at", "windows")
+    large = keyed.join(sizes.where(F.col("n") > most_blocks).select("key"), "key").select(*block).distinct()
+    large = contexts.join(materialise(large, "substring-large"), block, "left_semi").dropDuplicates(block)
     ranges = "anchor long, content long, ranges array<struct<lo: int, hi: int>>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +317,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 if group and row[0] != group[0][0]:
                     out += done(group)
                     group = []
-                group.append(row)
+                if not group or row[:3] != group[-1][:3]:  # a block may come from several copies of a text
+                    group.append(row)
             yield batch_of(out)
         yield batch_of(done(group))
 
-    partial = small.repartition("key").sortWithinPartitions("key", "content").mapInArrow(compare, ranges)
+    partial = small.repartition("key").sortWithinPartitions("key", "content", "anchor").mapInArrow(compare, ranges)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each window's place and 128-bit hash, seeded with its anchor's place."""

@@ -66,7 +66,7 @@ def brute_lines(rows: list[tuple]) -> list[tuple]:
     return sorted(out)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"broadcast_keys": 0}, {"broadcast_keys": 0, "broadcast_filter_bytes": -1}])
+@pytest.mark.parametrize("bounds", [{}, {"broadcast_key_bytes": 0}, {"broadcast_key_bytes": 0, "broadcast_filter_bytes": -1}])
 def test_line_dedup(spark, docs, bounds):
     got = dedup_lines(docs.withColumn("N_Lines", F.lit("clash")), **bounds)
     assert sum(c.lower() == "n_lines" for c in got.columns) == 1
@@ -91,6 +91,30 @@ def test_line_index_is_reversible(spark, docs):
     assert sorted(map(tuple, whole.heavy().collect())) == sorted(map(tuple, grown.heavy().collect()))
 
 
+def held_by(index: LineIndex, keys: list) -> list[bool]:
+    filters = {r.shard: CuckooFilter.load(r.filter) for r in index.filters.collect()}
+    return [(f := filters.get(k.h2 % index.shards)) is not None and bool(f.contains(np.array([k.h1], np.int64).view(np.uint64))[0]) for k in keys]
+
+
+def test_filters_follow_insertions_and_deletions(spark):
+    """They hold the heavy keys of each state, whichever documents came and went, and hardly any others."""
+    rng = random.Random(14)
+    pool = [" ".join(words(rng, 3)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, "\n".join(rng.sample(pool, rng.randint(1, 6))), "en", 0) for i in range(60)], DOCS)
+    parts = [docs.where(f"doc_id % 3 = {i}") for i in range(3)]
+    state, states = LineIndex.build(parts[0], min_chars=5, min_docs=3, shards=4), []
+    for move, part in (("insert", 1), ("insert", 2), ("delete", 0), ("insert", 0), ("delete", 1)):
+        state = getattr(state, move)(parts[part])
+        states.append(state)
+    every = {(r.h1, r.h2): r for s in states for r in s.heavy().collect()}
+    for state in states:
+        heavy = state.heavy().collect()
+        assert all(held_by(state, heavy)) and sum(r.n for r in state.filters.collect()) == len(heavy)
+        gone = [r for k, r in every.items() if k not in {(h.h1, h.h2) for h in heavy}]
+        assert sum(held_by(state, gone)) <= 0.02 * len(gone) + 1
+    assert len({len(s.heavy().collect()) for s in states}) > 1
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 5000, dtype=np.int64).view(np.uint64)
