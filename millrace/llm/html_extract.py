@@ -64,7 +64,7 @@ BOILER_EDGE, BOILER_ODDS, BOILER_EACH = 9.0, -60.0, -8.0
 #: Pages that the classifier is fitted on at most, those with the smallest hashes; bytes of html of each; rounds of cuts.
 SAMPLE_PAGES, SAMPLE_BYTES, ROUNDS = 200, 200_000, 2
 #: Weight of the prior for each of the classifier's weights: those of kinds of elements stay, as they are a sample's templates' habits rather than its texts'.
-PRIOR = (10.0, 10.0, 10.0, 10.0, 1e9, 1e9, 1e9)
+PRIOR = (100.0, 100.0, 100.0, 100.0, 1e9, 1e9, 1e9)
 
 
 class Block:

@@ -1,8 +1,10 @@
 """Quality by compression: zstandard dictionaries built from good and from bad labelled text.
 
-A text is compressed with either dictionary. The normalised difference of the sizes, (bad - good) / (bad + good), says
-which kind of text it resembles; a text that hardly grows beyond its own repetitions, whatever the dictionary, says so
-by its size itself. A logistic curve, fitted on labelled texts that the dictionaries weren't built from, turns them into a calibrated score.
+A text is compressed with either dictionary. The score comes from two normalised differences of sizes, between the text
+and what either dictionary leaves of it: (size - good) / (size + good) and (size - bad) / (size + bad). One against the
+other says what kind of text it resembles; both together how much it repeats itself. A logistic curve of second degree,
+fitted on labelled texts that the dictionaries weren't built from, turns them into a calibrated score. With too little
+labelled text of a class to train a dictionary, its texts themselves are the dictionary, up to DICT_BYTES.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from millrace.llm.labelled import base_rate, logistic, sample
 
 #: Labelled documents of each class at most, bytes of a dictionary, compression level.
 PER_CLASS, DICT_BYTES, LEVEL = 1000, 112_640, 3
+FEATURES = 6
 #: Bytes of labelled text the driver takes at most, for each class.
 SAMPLE_BYTES = 16_000_000
 
@@ -42,9 +45,9 @@ class Model:
 
 
 def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, ...]:
-    g, b = len(good.compress(text)), len(bad.compress(text))
-    ratio = g / (len(text) + 8)
-    return 1.0, 10 * (b - g) / (b + g), max(0.0, 0.30 - ratio) * 10, ratio
+    n, g, b = len(text), len(good.compress(text)), len(bad.compress(text))
+    x, y = 10 * (n - g) / (n + g), 10 * (n - b) / (n + b)
+    return 1.0, x, y, x * x / 10, x * y / 10, y * y / 10
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -58,24 +61,29 @@ def dictionary(texts: list[bytes]) -> bytes:
 def fit(rows: list[tuple[int, bytes]], rate: float) -> Model:
     """A model from (label, text) rows: one half makes the dictionaries, the other calibrates, and the reverse for the weights."""
     if len({label for label, _ in rows}) < 2:
-        return Model(b"", b"", np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0]))
+        return Model(b"", b"", np.r_[np.log(rate / (1 - rate)), np.zeros(FEATURES - 1)])
     x, y = [], []
     for half in (0, 1):
         own = [r for i, r in enumerate(rows) if i % 2 == half]
-        made = Model(dictionary([t for label, t in own if label == 1]), dictionary([t for label, t in own if label == 0]), np.zeros(4))
+        made = Model(dictionary([t for label, t in own if label == 1]), dictionary([t for label, t in own if label == 0]), np.zeros(FEATURES))
         good, bad = made.compressors()
         for i, (label, text) in enumerate(rows):
             if i % 2 != half:
                 x.append(features(text, good, bad))
                 y.append(label)
-    full = Model(dictionary([t for label, t in rows if label == 1]), dictionary([t for label, t in rows if label == 0]), np.zeros(4))
-    weights = logistic(np.array(x), np.array(y, float))
+    full = Model(dictionary([t for label, t in rows if label == 1]), dictionary([t for label, t in rows if label == 0]), np.zeros(FEATURES))
+    weights = logistic(np.array(x), np.array(y, float), steps=100)
     share = np.clip(np.mean(y), 1e-6, 1 - 1e-6)
     weights[0] += np.log(rate / (1 - rate)) - np.log(share / (1 - share))  # classes were sampled by themselves
     return Model(full.good, full.bad, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
+    """A model from a bounded sample of labelled documents outside the held-out remainder, whose labels are never read.
+
+    Null ids, labels and texts, empty texts and ids with several labels are left out; repeated rows count as often as
+    they stand. Without labels of both classes every text gets the share of label 1.
+    """
     rows, size = [], {0: 0, 1: 0}
     for r in sample(docs, labels, label_col, modulus, held_out, per_class).orderBy("draw", "text").toLocalIterator():
         text = r["text"].encode()

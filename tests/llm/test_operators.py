@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality, toxicity
 from millrace.llm.ann import search
-from millrace.llm.html_extract import extract, main_text, minimum_cut
+from millrace.llm.html_extract import WEIGHTS, blocks_of, cut, extract, fit, main_text, minimum_cut
 from millrace.llm.mixing import mix, multipliers
 from millrace.llm.queries import URL_RULES
 from millrace.llm.url_filter import filter_urls
@@ -223,3 +224,47 @@ def test_quality(spark):
     assert 0 <= got[800] == got[801] <= 1
     nothing = quality.train(docs, labels.limit(0), label_col="y")
     assert quality.score_quality(docs, nothing).count() == docs.count()
+
+
+def test_label_model_outvotes_wrong_labels_and_uses_unlabelled_rows():
+    rng = np.random.default_rng(5)
+    truth = rng.random(1600) < 0.3
+    lexicon = np.where(truth[:, None], rng.random((1600, 12)) < 0.35, rng.random((1600, 12)) < 0.004)
+    pattern = np.where(truth, rng.random(1600) < 0.4, rng.random(1600) < 0.1)[:, None]
+    fired = lexicon.sum(axis=1)
+    votes = np.c_[lexicon, pattern, fired == 0, fired == 1, fired > 1]
+    labels = np.where(np.arange(1600) < 600, truth.astype(int), -1)
+    wrong = rng.choice(600, 40, replace=False)
+    labels[wrong] = 1 - labels[wrong]
+    post, right = toxicity.label_model(votes, labels, 0.3, 12)
+    told = (post > 0.5) == truth
+    assert told[600:].mean() > 0.97 and told[wrong].mean() > 0.85 and told[:600].mean() > 0.96
+    assert all(0.85 < r < 0.99 for r in right)
+
+
+PROSE = "This is a sentence of some length, with a comma and a stop. Here is another one, which says a little more than that."
+
+
+def test_the_cut_decides_against_a_blocks_own_odds():
+    """Short paragraphs of an article stay, the prose of an advert goes, each against what the block alone looks like."""
+    page = f'<nav><a href=1>Home</a></nav><article><p>{PROSE}</p><p>No</p><p>{PROSE}</p></article><div class="ad"><p>{PROSE}</p></div><p><a href=2>More</a></p>'
+    blocks = blocks_of(page)
+    alone = [b.odds() > 0 for b in blocks]
+    assert [b.text[:4] for b in blocks] == ["Home", "This", "No", "This", "This", "More"]
+    assert cut(blocks) == [False, True, True, True, False, False] and alone[4] and blocks[2].odds((-4.0, 0.5, -3.0, 0.6, 1.0, 1.0, -0.5)) < 0
+    assert cut(blocks, (-4.0, 0.5, -3.0, 0.6, 1.0, 1.0, -0.5)) == cut(blocks)
+
+
+def test_fitted_weights_keep_to_their_prior_and_to_the_cut():
+    pages = [f"<nav><ul>{'<li><a href=x>Go</a>' * 6}</ul></nav><article>{f'<p>{PROSE}</p><p>Yes.</p>' * n}</article><footer>{PROSE}</footer>" for n in range(1, 12)]
+    weights = fit(pages)
+    assert weights != WEIGHTS and weights[4:] == pytest.approx(WEIGHTS[4:]) and weights[2] < 0 < weights[1]
+    assert all(main_text(p, weights) == main_text(p) == "\n".join([PROSE, "Yes."] * n) for n, p in enumerate(pages, 1))
+    assert fit([]) == fit(["", "<p>"]) == WEIGHTS
+
+
+@pytest.mark.parametrize("part", ['<a "', "<b>", "<article>", "</x><p>", "<li><a href=y>z</a>", "<script>", "<!--", "&amp;<", "<div class='ad' "])
+def test_pages_are_read_in_linear_time(part):
+    began = time.process_time()
+    main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 6
