@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,37 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources import shared_dir
+
 #: Words that one Python worker remembers the hash of.
 WORD_CACHE = 50_000
 #: Bytes of a table that a join may broadcast.
 BROADCAST_BYTES = 32_000_000
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Text bytes that are turned into arrays at once; one longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 #: What this process has written to the shared folder and not yet deleted.
 _written: list[str] = []
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, light: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage: what a lost executor held is read again from there.
 
-    The operators' results read these tables, so they stay until `clean` is called.
+    A light table (a few numbers for each row of something that was written in full) is written by an eighth of the
+    shuffle partitions, so that it doesn't leave as many files. The operators' results read these tables, so they stay
+    until `clean` is called.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
+    df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)) if light else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -107,6 +101,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(text: bytes, ids: WordHashes) -> np.ndarray:
+    """The hashes of a text's words (A-Z lower-cased, parted by ASCII white space); long texts are split piece by piece."""
+    if len(text) <= CHUNK_BYTES:
+        return ids.of(text.lower().split())
+    out, start = [], 0
+    while start < len(text):
+        gap = BLANK.search(text, min(start + CHUNK_BYTES, len(text)))
+        end = gap.start() if gap else len(text)
+        out.append(ids.of(text[start:end].lower().split()))
+        start = end + 1
+    return np.concatenate(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash; every output bit depends on every input bit."""
     x = x.astype(np.uint64, copy=True)

@@ -41,7 +41,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     null ends are ignored, no edges give no rows. A node's neighbours are aggregated, never gathered.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges, state = materialise(edges, "cc"), None
+    edges, state = materialise(edges, "cc", light=True), None
     while True:
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not seen[0]:
@@ -59,4 +59,4 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
-        edges = materialise(edges, "cc")
+        edges = materialise(edges, "cc", light=True)

@@ -192,10 +192,10 @@ class LineIndex:
             return pa.table({"shard": t.column("shard")[:1], "n": pa.array([len(t)], pa.int64()), "filter": pa.array([made.dump()], pa.binary())})
 
         keyed = heavy.select(self.shard(), "h1")
-        return materialise(keyed.groupBy("shard").applyInArrow(build, FILTERS), "line-filters")
+        return materialise(keyed.groupBy("shard").applyInArrow(build, FILTERS), "line-filters", light=True)
 
     def _merged(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
-        more = materialise(references(docs, id_col, text_col, self.min_chars).withColumn("refs", sign * F.col("refs")), "line-changes")
+        more = materialise(references(docs, id_col, text_col, self.min_chars).withColumn("refs", sign * F.col("refs")), "line-changes", light=True)
         merged = self.table.unionByName(more).groupBy("h1", "h2", "doc").agg(F.sum("refs").alias("refs"))
         merged = materialise(merged.where("refs > 0"), "line-index")
         # of the keys that the documents have: which became heavy, and which no longer are
@@ -215,7 +215,7 @@ class LineIndex:
             shard = (t if len(t) else moved).column("shard")[:1]
             return pa.table({"shard": shard.cast(pa.int32()), "n": pa.array([n], pa.int64()), "filter": pa.array([None if full else held.dump()], pa.binary())})
 
-        updated = materialise(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(update, FILTERS), "line-filters")
+        updated = materialise(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(update, FILTERS), "line-filters", light=True)
         full = [r["shard"] for r in updated.where("filter IS NULL").select("shard").collect()]  # shards at most
         after.filters = updated if not full else updated.where("filter IS NOT NULL").union(after.built(after.heavy().where(after.shard().isin(full))))
         return after

@@ -42,7 +42,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     sources are range-partitioned, and each partition's rows are numbered after those before it.
     """
     ranked = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
-    ranked = materialise(ranked.withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    ranked = materialise(ranked.withColumn("_at", F.monotonically_increasing_id()), "mix-sources", light=True)
     counts = {r["p"]: r["n"] for r in ranked.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each partition
     before, start = {}, 0
     for p in sorted(counts):
@@ -75,7 +75,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST, steps:
     m is null where every document goes `most` times, 0 for sources without words or target.
     """
     heaps = sizes.where("size > 0").groupBy(F.col("source").alias("_s"), "size").agg(F.count(F.lit(1)).alias("n"))
-    heaps = materialise(heaps, "mix-heaps")
+    heaps = materialise(heaps, "mix-heaps", light=True)
     of = F.col("source").eqNullSafe(F.col("_s"))
     w = F.col("size").cast("double")
     facts = heaps.groupBy("_s").agg((F.sum(w * F.col("n")) / F.sum("n")).alias("mean"), F.sum(w * w * F.col("n")).alias("squares"))
@@ -85,7 +85,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST, steps:
     # the first step as if all documents were as long as the mean word's
     start = F.when(full, None).when(share > 0, F.log(share) * F.col("mean") * F.col("source_size") / F.col("squares")).otherwise(0.0)
     state = state.select("source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), start.alias("m"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), (full | ~(share > 0) | share.isNull()).alias("done"))
-    state = materialise(state, "mix-dual")
+    state = materialise(state, "mix-dual", light=True)
     for _ in range(steps):
         if state.where("NOT done").isEmpty():
             break
@@ -104,7 +104,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, most: float = MOST, steps:
         tight = (F.col("hi") - F.col("lo")) <= 1e-14 * (F.abs("hi") + F.abs("lo"))
         done = F.col("done") | (F.abs("over") <= CLOSE * F.col("target")) | F.coalesce(tight, F.lit(False))
         m = F.when(done, F.col("m")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(middle)
-        state = materialise(state.select("source", "source_size", "target", "mean", m.alias("m"), "lo", "hi", done.alias("done")), "mix-dual")
+        state = materialise(state.select("source", "source_size", "target", "mean", m.alias("m"), "lo", "hi", done.alias("done")), "mix-dual", light=True)
     return state.select("source", "source_size", "target", "mean", "m")
 
 
@@ -125,10 +125,10 @@ def mix(
     narrow = sized.select(F.col(f"`{id_col}`").alias("_mix_id"), F.col(f"`{source_col}`").alias("_mix_from"), "size")
     narrow = materialise(narrow, "mix-sizes")
     sums = narrow.groupBy(F.col("_mix_from").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    sums = materialise(sums, "mix-sums")
+    sums = materialise(sums, "mix-sums", light=True)
     rates = multipliers(narrow.select(F.col("_mix_from").alias("source"), "size"), source_targets(sums.select("source", "source_size"), weights, most), most)
     rates = rates.join(sums.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), "source_size", "target", F.col("mean").alias("_mean"), F.col("m").alias("_m"), F.col("rows").alias("_rows"))
-    rates = materialise(rates, "mix-rates")
+    rates = materialise(rates, "mix-rates", light=True)
     n = narrow.count()
     apart = n == narrow.select("_mix_id").distinct().count()
     if apart:

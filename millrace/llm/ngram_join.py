@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, bounded_join, grams, materialise, mix, signed, texts
+from millrace.llm.common import WordHashes, bounded_join, grams, materialise, mix, signed, texts, word_hashes
 from millrace.llm.components import components
 
 #: Signatures and elements that leave Python at once.
@@ -51,10 +51,8 @@ REMEMBERED = 500_000
 
 def shingles(text: bytes | None, n: int, ids: WordHashes) -> np.ndarray:
     """The sorted hashes of the distinct n-word shingles; the whole text's where it has fewer words, none without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(grams(ids.of(words), min(n, len(words))))
+    words = word_hashes(text or b"", ids)
+    return np.unique(grams(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def set_hash(elements: np.ndarray) -> np.uint64:
@@ -238,17 +236,17 @@ def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     first = groups.groupBy("cls").agg(F.min("hub").alias("hub")).where("cls <> hub").join(sets.select("cls", "n", "elements"), "cls")
     hubs = sets.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("elements").alias("hub_elements"))
     near = first.join(hubs, "hub").where((F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num) & (F.size(F.array_intersect("elements", "hub_elements")) * (den + num) >= (F.col("n") + F.col("hub_n")) * num))
-    links = materialise(near.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "jaccard-links")
+    links = materialise(near.select(F.col("cls").alias("a"), F.col("hub").alias("b")), "jaccard-links", light=True)
     labels = links.select("a", "b").join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cls"), F.coalesce("c", "b").alias("label"))
 
     marked = groups.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     # groups of the same members (by two hashes) need to be looked at once
     facts = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("cls")).alias("f0"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("f1")]
     open_ = marked.groupBy("sig").agg(*facts).where("l0 < l1").groupBy("members", "f0", "f1").agg(F.min("sig").alias("sig")).select("sig", "members")
-    placed = materialise(marked.join(open_, "sig"), "jaccard-open")
+    placed = materialise(marked.join(open_, "sig"), "jaccard-open", light=True)
     clusters = components(placed.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     held = clusters.select(F.col("node").alias("cls"), F.col("label").alias("cluster")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(sets.select("cls", "n"), "cls")
-    held = materialise(held, "jaccard-held")
+    held = materialise(held, "jaccard-held", light=True)
 
     def block(largest: Column) -> Column:
         return F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ELEMENTS) / largest)))
@@ -258,7 +256,7 @@ def link_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     plan = plan.select("cluster", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / F.col("block")).alias("others"), F.ceil(F.col("top.n") / F.col("block")).alias("mains"), "all", F.col("top.n").alias("n"))
     moved = F.col("n") * F.col("others") + (F.col("all") - F.col("n")) * (F.col("mains") + F.col("others"))
     rows = placed.join(held.select("cls", "cluster", "n"), "cls")
-    plan = materialise(plan.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster").withColumn("blocks", moved <= 2 * F.col("rows")), "jaccard-plan")
+    plan = materialise(plan.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster").withColumn("blocks", moved <= 2 * F.col("rows")), "jaccard-plan", light=True)
     whole = held.join(plan.where("blocks"), "cluster").select(F.lit("c").alias("kind"), F.col("cluster").alias("of"), "cls", "label", (F.col("label") == F.col("top")).alias("main"), "others", "mains")
     rest = rows.join(plan.where("NOT blocks").select("cluster"), "cluster", "left_semi")
     largest = rest.groupBy("sig").agg(F.max("n").alias("size"))
@@ -317,9 +315,9 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
 
     groups = materialise(multi_groups(docs.select("text").mapInArrow(sign, "sig long, cls long")), "jaccard-groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = materialise(measured.where("cls IS NOT NULL").groupBy("cls").agg(least.alias("least")), "jaccard-classes")
+    classes = materialise(measured.where("cls IS NOT NULL").groupBy("cls").agg(least.alias("least")), "jaccard-classes", light=True)
     active = classes.join(groups.select("cls").distinct(), "cls").select("cls", F.col("least.doc_id").alias("_least"), F.col("least.key").alias("_key"))
-    active = materialise(active, "jaccard-active")
+    active = materialise(active, "jaccard-active", light=True)
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordHashes()
@@ -354,9 +352,9 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     labels = link_groups(groups, sets, num, den).select(F.col("node").alias("cls"), "label")
 
     # written tables meet here, so that a class or component with many rows is split between tasks
-    linked = materialise(classes.join(labels, "cls"), "jaccard-linked")
+    linked = materialise(classes.join(labels, "cls"), "jaccard-linked", light=True)
     smallest = linked.groupBy("label").agg(F.min(F.struct(F.col("least.none").alias("none"), F.col("least.doc_id").alias("doc_id"), "cls")).alias("f"))
-    first = linked.select("cls", "label").join(materialise(smallest, "jaccard-smallest"), "label").select("cls", "f")
+    first = linked.select("cls", "label").join(materialise(smallest, "jaccard-smallest", light=True), "label").select("cls", "f")
     judged = classes.join(first, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("f.doc_id", "least.doc_id").alias("_component"), F.coalesce(F.col("f.cls") == F.col("cls"), F.lit(True)).alias("_first"))
     rows = measured.join(judged, F.col("cls") == F.col("_cls"), "left")
     stays = F.col("cls").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_component")))
@@ -383,14 +381,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     judged = materialise(judged_rows(docs, id_col, text_col, n, num, den), "jaccard-judged")
     again = judged.where("stays AND cls IS NOT NULL").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least")).where("rows > 1")
-    again = materialise(again, "jaccard-again")
+    again = materialise(again, "jaccard-again", light=True)
     gone = judged.where("NOT stays").select("doc_id", "key")
     repeats = not again.isEmpty()
     if repeats:
         other = again.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"), "least")
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("cls") == F.col("_cls"))
         gone = gone.union(judged.where("stays").join(other, same).where("key <> least").select("doc_id", "key"))
-    gone = materialise(gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "jaccard-gone")
+    gone = materialise(gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_gone_key")).distinct(), "jaccard-gone", light=True)
     rows = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     out = bounded_join(rows, gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
     if repeats:

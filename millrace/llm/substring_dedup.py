@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     # the bytes of the blocks that are to be compared
     is_partial, is_witness = F.col("kind").bitwiseAND(PARTIAL) > 0, F.col("kind").bitwiseAND(WITNESS) > 0
-    unsure = materialise(judged.where(is_partial).select("anchor").distinct(), "substring-anchors")
+    unsure = materialise(judged.where(is_partial).select("anchor").distinct(), "substring-anchors", light=True)
     asked = judged.where(is_partial | is_witness).groupBy("anchor", "content").agg(F.min(F.struct("h1", "h2")).alias("h"))
     asked = asked.join(unsure, "anchor", "left_semi").select(F.col("h.h1").alias("q1"), F.col("h.h2").alias("q2"), F.struct("anchor", "content").alias("block"))
     asked = materialise(asked.groupBy("q1", "q2").agg(F.collect_list("block").alias("blocks")), "substring-asked")
@@ -290,11 +290,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     ]
     keyed = contexts.select("anchor", "content", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
     keyed = materialise(keyed.distinct(), "substring-keys")
-    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-sizes")
+    sizes = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-sizes", light=True)
     block = ["anchor", "content"]
     small = keyed.join(sizes.where(F.col("n") <= most_blocks).select("key"), "key").join(contexts, block).select("key", "content", "anchor", "bytes", "at", "windows")
     large = keyed.join(sizes.where(F.col("n") > most_blocks).select("key"), "key").select(*block).distinct()
-    large = contexts.join(materialise(large, "substring-large"), block, "left_semi").dropDuplicates(block)
+    large = contexts.join(materialise(large, "substring-large", light=True), block, "left_semi").dropDuplicates(block)
     ranges = "anchor long, content long, ranges array<struct<lo: int, hi: int>>"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                 yield pa.record_batch([pa.array([a] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(w1), pa.array(w2)], names=["anchor", "content", "i", "w1", "w2"])
 
     each = materialise(large.mapInArrow(windows, "anchor long, content long, i int, w1 long, w2 long"), "substring-windows")
-    shared = materialise(each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "substring-shared")
+    shared = materialise(each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"), "substring-shared", light=True)
     hit = each.join(shared, ["w1", "w2"]).select("anchor", "content", F.array(F.struct(F.col("i").alias("lo"), (F.col("i") + length).alias("hi"))).alias("ranges"))
     # a block's findings in all its groups together
     partial = partial.union(hit).groupBy("anchor", "content").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     whole = judged.where(F.col("kind").bitwiseAND(REPEATED) > 0).select("h1", "h2", F.struct("anchor", "content", F.lit(None).cast("array<struct<lo: int, hi: int>>").alias("ranges")).alias("mark"))
     some = judged.where(is_partial).join(partial, ["anchor", "content"]).select("h1", "h2", F.struct("anchor", "content", "ranges").alias("mark"))
     copies = texts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.lit(True).alias("copied"))
-    copies = materialise(copies, "substring-copies")
+    copies = materialise(copies, "substring-copies", light=True)
     twice = copies.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"))
     marks = bounded_join(whole.union(some), twice, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left_anti").groupBy("h1", "h2").agg(F.collect_list("mark").alias("marks"))
     every = marks.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("marks", F.array().cast(dict(marks.dtypes)["marks"])))

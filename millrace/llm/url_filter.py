@@ -9,8 +9,10 @@ up; of all that fit, the longest rule (host and path together) wins.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,22 +64,25 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     drawn = hashed_sample(keyed.select("_full"), F.xxhash64("_full", F.monotonically_increasing_id()), SAMPLED_KEYS, urls.count())
     sample = sorted(r["_full"] for r in drawn.collect())
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample[1:]
-    marks = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
+    marks = [b.encode() for b in bounds]
 
-    def below(x: Column, inclusive: bool) -> Column:
-        return F.size(F.filter(marks, lambda b: b <= x if inclusive else b < x))
+    @F.pandas_udf("struct<low: int, high: int>")
+    def between(keys: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        """How many bounds are below a key, and how many below its end, by binary search."""
+        low, high = ([bisect_left(marks, x.encode()) for x in own] for own in (keys, ends))
+        return pd.DataFrame({"low": low, "high": high}, dtype="int32")
 
     # a url equal to some bounds may go to any of the ranges between them
-    low, high = below(F.col("_full"), False), below(F.col("_full"), True)
+    spread = between("_full", F.concat("_full", F.lit("\0")))
     blank_rule = {"_rhost": F.lit(None).cast("string"), "_rpath": F.lit(None).cast("string"), "_rverdict": F.lit(None).cast("string")}
-    dealt = keyed.withColumn("_part", low + F.pmod(F.xxhash64(F.monotonically_increasing_id()), high - low + 1).cast("int")).withColumn("_kind", F.lit(1)).withColumns(blank_rule)
+    dealt = keyed.withColumn("_at", spread).withColumn("_part", F.col("_at.low") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_at.high") - F.col("_at.low") + 1).cast("int")).withColumn("_kind", F.lit(1)).withColumns(blank_rule)
 
     good = rules.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
     good = good.withColumn("host", F.translate("host", UPPER, LOWER)).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     good = good.withColumn("_key", host_key(F.col("host")))
-    first = below(F.col("_key"), False)
-    last = F.size(F.filter(marks, lambda b: (b <= F.col("_key")) | b.startswith(F.col("_key"))))
-    ruled = good.withColumn("_part", F.explode(F.sequence(first, last))).select(
+    # a host's keys begin with its own and its last dot; what follows them all has a slash there
+    met = between("_key", F.concat(F.expr("substring(_key, 1, char_length(_key) - 1)"), F.lit("/")))
+    ruled = good.withColumn("_at", met).withColumn("_part", F.explode(F.sequence("_at.low", "_at.high"))).select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in urls.schema.fields], F.lit(None).cast("string").alias("host"), F.lit("").alias("path"), "_key", F.lit("").alias("_full"), "_part", F.lit(0).alias("_kind"),
         F.col("host").alias("_rhost"), F.col("path").alias("_rpath"), F.col("verdict").alias("_rverdict"),
     )
