@@ -356,6 +356,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     smallest = linked.groupBy("label").agg(F.min(F.struct(F.col("least.none").alias("none"), F.col("least.doc_id").alias("doc_id"), "cls")).alias("f"))
     first = linked.select("cls", "label").join(materialise(smallest, "jaccard-smallest", light=True), "label").select("cls", "f")
     judged = classes.join(first, "cls", "left").select(F.col("cls").alias("_cls"), F.coalesce("f.doc_id", "least.doc_id").alias("_component"), F.coalesce(F.col("f.cls") == F.col("cls"), F.lit(True)).alias("_first"))
+    judged = materialise(judged, "jaccard-decided", light=True)
     rows = measured.join(judged, F.col("cls") == F.col("_cls"), "left")
     stays = F.col("cls").isNull() | (F.col("_first") & F.col("doc_id").eqNullSafe(F.col("_component")))
     return rows.select("doc_id", "key", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"), stays.alias("stays"))
