@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,20 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], text_at: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices with about `most` bytes of text in a column, one longer text alone, so that a worker holds little besides what it was sent."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.cast(pc.binary_length(batch.column(text_at)), pa.int64()), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+        if not batch.num_rows:
+            yield batch
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: Column, how: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A join that broadcasts `small` only if its rows, each measured as text, are within the bound; else both sides are shuffled."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in small.columns), F.lit(24))

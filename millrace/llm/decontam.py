@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import WordHashes, appended, bounded_join, chunks, grams, materialise, signed, sliding_min, texts, utf8
+from millrace.llm.common import WordHashes, appended, bounded_join, chunks, grams, materialise, signed, sliced, sliding_min, texts, utf8
 
 WINDOW, GRAM = 13, 5
 #: Benchmark text in a broadcast index at most.
@@ -200,7 +200,7 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, gram:
     width, text_at = len(docs.columns), docs.columns.index(text_col)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             n = [len(words_of(t)) for t in texts(batch.column(text_at).cast(pa.string()))]
             spans = [[{"start": a, "end": z} for a, z in merged([(x["start"], x["end"]) for x in own or ()])] for own in batch.column(width).to_pylist()]
             names = [sorted(x or ()) for x in batch.column(width + 1).to_pylist()]
@@ -238,7 +238,7 @@ def decontaminate(
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = WordHashes()
-            for batch in batches:
+            for batch in sliced(batches, text_at):
                 n, spans, hits = [], [], []
                 for words, edge, own in found(utf8(batch.column(text_at)), index.value, ids):
                     n.append(words)

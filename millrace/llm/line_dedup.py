@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, materialise, signed, utf8
+from millrace.llm.common import appended, materialise, signed, sliced, utf8
 
 MIN_CHARS, MIN_DOCS, SHARDS = 40, 5, 64
 #: Bytes of heavy keys with their documents, and of filters, that are sent to every executor at most. Beyond the first the
@@ -134,7 +134,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, doc, keys, refs = batch.column(0).to_pylist(), [], [], []
             for i, text in zip(ids, utf8(batch.column(1)), strict=True):
                 count: dict[bytes, int] = {}
@@ -281,7 +281,7 @@ def dedup_lines(
             held = {s: CuckooFilter.load(x) for s, x in sent.value.items()}
             e1, e2, keep = exact.value
             run = int(np.unique(e1, return_counts=True)[1].max()) if len(e1) else 0
-            for batch in batches:
+            for batch in sliced(batches, text_at):
                 ids, texts = batch.column(id_at).cast(pa.int64() if id_type == "bigint" else pa.string()).to_pylist(), utf8(batch.column(text_at))
                 lines, doc, at, keys = [], [], [], []
                 for i, text in enumerate(texts):
@@ -307,7 +307,7 @@ def dedup_lines(
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {s: CuckooFilter.load(x) for s, x in sent.value.items()}
-        for batch in batches:
+        for batch in sliced(batches, 1):
             doc, keys = [], []
             for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 own = list(dict.fromkeys(line_keys(text, min_chars)[2]))
@@ -324,7 +324,7 @@ def dedup_lines(
     joined = docs.join(gone.withColumnRenamed("doc", "_doc"), F.col(id_col).cast(id_type).eqNullSafe(F.col("_doc")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             texts, lines, dropped = utf8(batch.column(text_at)), [], []
             for text, gone in zip(texts, batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
                 own, at, keys = line_keys(text, min_chars)

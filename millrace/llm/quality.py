@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, utf8
+from millrace.llm.common import appended, sliced, utf8
 from millrace.llm.labelled import base_rate, logistic, sample
 
 #: Labelled documents of each class at most, bytes of a dictionary, compression level.
@@ -104,7 +104,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = sent.value.compressors()
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             x = np.array([features(t or b"", good, bad) for t in utf8(batch.column(text_at))]).reshape(-1, len(sent.value.weights))
             p = 1 / (1 + np.exp(-np.clip(x @ sent.value.weights, -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], names=names)

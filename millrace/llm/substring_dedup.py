@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import appended, bounded_join, materialise, mix, signed, sliding_min
+from millrace.llm.common import appended, bounded_join, materialise, mix, signed, sliced, sliding_min
 
 LENGTH, GRAM, MOST_BLOCKS, SEGMENTS = 200, 50, 2048, 4
 #: Bytes that are turned into arrays at once.
 CHUNK = 1_000_000
+#: Bytes of texts that are held as Python's objects at once.
+SLICE = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 REPEATED, PARTIAL, WITNESS = 1, 2, 4
@@ -209,7 +211,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in sliced(batches, 2, SLICE):
             seen: dict[tuple[int, int], bytes] = {}  # of equal texts in a batch one is enough: all go wholly
             for a, b, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen.setdefault((a, b), t)
@@ -351,7 +353,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in sliced(batches, width, SLICE):
             own, copied, marks = (batch.column(width + i).to_pylist() for i in range(3))
             gone: list[list[tuple[int, int]]] = [[(0, len(t))] if c and len(t) >= length else [] for t, c in zip(own, copied, strict=True)]
             which = [i for i, (c, m) in enumerate(zip(copied, marks, strict=True)) if m and not c]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import WORD_CACHE, appended, hashed_sample
+from millrace.llm.common import WORD_CACHE, appended, hashed_sample, sliced
 from millrace.llm.labelled import base_rate, logistic, sample
 
 #: Labelled documents of each class at most; unlabelled ones; lexicon entries; times that a toxic document is to be covered by entries.
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             got = [facts(t) for t in batch.column("text").to_pylist()]
             entries = pa.array([entries_in(x[0]).tobytes() for x in got], pa.binary())
             yield pa.record_batch([batch.column("draw"), batch.column("label"), entries, pa.array([x[1] for x in got], pa.list_(pa.bool_()))], names=["draw", "label", "entries", "shown"])
@@ -210,7 +210,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fires, w = Fires(), sent.value.weights
         first = len(sent.value.lexicon)
-        for batch in batches:
+        for batch in sliced(batches, text_at):
             out = []
             for text in batch.column(text_at).to_pylist():
                 words, shown = facts(text)
