@@ -39,7 +39,8 @@ def materialise(df: DataFrame, label: str, light: bool = False) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.append(path)
     df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)) if light else df
-    df.write.option("compression", "zstd").parquet(path)
+    # no marker of success: the table is read by whom the write has returned to
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -382,7 +382,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     judged = materialise(judged_rows(docs, id_col, text_col, n, num, den), "jaccard-judged")
     again = judged.where("stays AND cls IS NOT NULL").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least")).where("rows > 1")
-    again = materialise(again, "jaccard-again", light=True)
     gone = judged.where("NOT stays").select("doc_id", "key")
     repeats = not again.isEmpty()
     if repeats:
